@@ -48,7 +48,7 @@ def lookup_distinct(
     a value held by a third of all rows is joined in ``salts`` tasks.
     """
     salted = _salt(df, F.col(spread), salts)
-    present = salted.groupBy(*keys, "__salt").agg().groupBy(*keys).agg(F.collect_set("__salt").alias("__salts"))
+    present = salted.select(*keys, "__salt").distinct().groupBy(*keys).agg(F.collect_set("__salt").alias("__salts"))
     answers = resolve(present).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.explode("__salts").alias("__s"), *outputs)
     cond = F.col("__salt") == F.col("__s")
     for k in keys:
