@@ -1,13 +1,17 @@
-"""Queries that run the domain operators over the test tables, each with its SQL."""
+"""Queries that run the domain operators over the whole test tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates, numbers, text
+from ..operators import dedup, evaluate, extract, provenance, quality, report, retrieval, verify
 from ..session import table
+from ..sources import markdown
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +27,433 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def typed_events(spark: SparkSession, d: str) -> DataFrame:
+    """sample_events with plain numbers as numbers; what is no plain number is null."""
+    e = table(spark, d, "sample_events")
+    whole = {c: F.col(c).try_cast("bigint") for c in ("shares", "old_capital", "new_capital", "total_outflow")}
+    return e.withColumns({**whole, "issue_price": F.col("issue_price").try_cast("double")})
+
+
+_TYPED = """typed AS (
+  SELECT * REPLACE (
+    CASE WHEN regexp_matches(trim(shares), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(shares) AS BIGINT) END AS shares,
+    CASE WHEN regexp_matches(trim(old_capital), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(old_capital) AS BIGINT) ELSE CAST(trunc(TRY_CAST(old_capital AS DOUBLE)) AS BIGINT) END AS old_capital,
+    CASE WHEN regexp_matches(trim(new_capital), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(new_capital) AS BIGINT) ELSE CAST(trunc(TRY_CAST(new_capital AS DOUBLE)) AS BIGINT) END AS new_capital,
+    CASE WHEN regexp_matches(trim(total_outflow), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(total_outflow) AS BIGINT) ELSE CAST(trunc(TRY_CAST(total_outflow AS DOUBLE)) AS BIGINT) END AS total_outflow,
+    TRY_CAST(issue_price AS DOUBLE) AS issue_price)
+  FROM sample_events)"""
+
+
+@query("SELECT coalesce(event_type, 'unknown') AS event_type, count(*) AS n FROM sample_events GROUP BY 1")
 def event_type_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "sample_events").groupBy(F.coalesce("event_type", F.lit("unknown")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50")
+def events_filter_limit(spark: SparkSession, d: str) -> DataFrame:
+    return quality.listed(table(spark, d, "events"), 50, "event_id", "click").select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS n FROM events WHERE event_type = 'click') t WHERE n > 20")
+def events_negative_limit(spark: SparkSession, d: str) -> DataFrame:
+    return quality.listed(table(spark, d, "events"), -20, "event_id", "click").select("event_id")
+
+
+@query("""
+WITH g AS (SELECT filing_id, event_type, date, count(*) AS n, count(issue_price) AS np, count(DISTINCT issue_price) AS p
+           FROM ola_drhp_extracted WHERE date IS NOT NULL AND date <> '' GROUP BY 1, 2, 3),
+f AS (SELECT filing_id, event_type, date, count(*) AS n_figures FROM
+        (SELECT DISTINCT filing_id, event_type, date, shares, issue_price FROM ola_drhp_extracted WHERE date IS NOT NULL AND date <> '') t GROUP BY 1, 2, 3)
+SELECT g.filing_id, g.event_type, g.date, g.n, f.n_figures,
+  CASE WHEN g.event_type = 'allotment' AND g.p = 1 AND g.np = g.n THEN 'warning' ELSE 'error' END AS severity
+FROM g JOIN f ON g.filing_id = f.filing_id AND g.event_type = f.event_type AND g.date = f.date WHERE g.n >= 2 AND f.n_figures > 1
+""")
+def timeline_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return verify.date_conflicts(table(spark, d, "ola_drhp_extracted"), ["filing_id"], ["shares", "issue_price"], ids=None).select("filing_id", "event_type", "date", "n", "n_figures", "severity")
+
+
+@query(f"""
+WITH {_TYPED}, n AS (SELECT filing_id, event_id, new_capital, lead(old_capital) OVER (PARTITION BY filing_id ORDER BY coalesce(date, ''), event_id) AS next_old
+  FROM typed WHERE event_type = 'authorised_capital_change')
+SELECT filing_id, event_id, new_capital, next_old FROM n WHERE new_capital <> next_old
+""")
+def capital_continuity(spark: SparkSession, d: str) -> DataFrame:
+    chain = typed_events(spark, d).where("event_type = 'authorised_capital_change'")
+    return verify.chain_breaks(chain, ["filing_id"], "old_capital", "new_capital", order="event_id").select("filing_id", "event_id", "new_capital", "next_old")
+
+
+_RATIO = "CASE WHEN regexp_matches(ratio, '^\\s*\\d+(\\.\\d+)?\\s*:\\s*\\d+(\\.\\d+)?\\s*$') AND CAST(trim(split_part(ratio, ':', 2)) AS DOUBLE) <> 0 THEN CAST(trim(split_part(ratio, ':', 1)) AS DOUBLE) / CAST(trim(split_part(ratio, ':', 2)) AS DOUBLE) END"
+
+
+@query(f"""
+WITH r AS (SELECT event_id, pre_issue_capital AS pre, post_issue_capital AS post, {_RATIO} AS m FROM sample_events WHERE event_type = 'bonus_issue'),
+x AS (SELECT event_id, pre * (1 + m) AS expected, abs(post - pre * (1 + m)) / (pre * (1 + m)) AS deviation FROM r WHERE pre <> 0)
+SELECT event_id, round(expected, 3) AS expected, round(deviation, 6) AS deviation FROM x WHERE deviation > 0.05
+""")
+def bonus_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    bonus = table(spark, d, "sample_events").where("event_type = 'bonus_issue'")
+    out = verify.ratio_breaks(bonus, "ratio", "pre_issue_capital", "post_issue_capital")
+    return out.select("event_id", F.round("expected", 3).alias("expected"), F.round("deviation", 6).alias("deviation"))
+
+
+_SUMMARY = f"""
+WITH {_TYPED},
+g AS (SELECT filing_id, event_type, date, count(*) AS n FROM typed WHERE date IS NOT NULL AND date <> '' GROUP BY 1, 2, 3),
+f AS (SELECT filing_id, event_type, date, count(*) AS k FROM (SELECT DISTINCT filing_id, event_type, date, shares, ratio, new_capital FROM typed WHERE date IS NOT NULL AND date <> '') t GROUP BY 1, 2, 3),
+a AS (SELECT g.filing_id, count(*) AS timeline FROM g JOIN f ON g.filing_id = f.filing_id AND g.event_type IS NOT DISTINCT FROM f.event_type AND g.date = f.date WHERE g.n >= 2 AND f.k > 1 GROUP BY 1),
+l AS (SELECT filing_id, new_capital, lead(old_capital) OVER (PARTITION BY filing_id ORDER BY coalesce(date, ''), event_id) AS next_old FROM typed WHERE event_type = 'authorised_capital_change'),
+b AS (SELECT filing_id, count(*) AS capital_continuity FROM l WHERE new_capital <> next_old GROUP BY 1),
+r AS (SELECT filing_id, pre_issue_capital AS pre, post_issue_capital AS post, {_RATIO} AS m FROM typed WHERE event_type = 'bonus_issue'),
+c AS (SELECT filing_id, count(*) AS arithmetic FROM r WHERE pre <> 0 AND abs(post - pre * (1 + m)) / (pre * (1 + m)) > 0.05 GROUP BY 1),
+n AS (SELECT filing_id, count(*) AS checked FROM typed GROUP BY 1)
+SELECT n.filing_id, n.checked, coalesce(timeline, 0) + coalesce(capital_continuity, 0) + coalesce(arithmetic, 0) AS n_issues,
+  coalesce(timeline, 0) AS timeline, coalesce(capital_continuity, 0) AS capital_continuity, coalesce(arithmetic, 0) AS arithmetic,
+  coalesce(timeline, 0) + coalesce(capital_continuity, 0) + coalesce(arithmetic, 0) = 0 AS consistent,
+  round(greatest(0.0, 1 - 0.2 * (coalesce(timeline, 0) + coalesce(capital_continuity, 0) + coalesce(arithmetic, 0))), 6)::DOUBLE AS confidence
+FROM n LEFT JOIN a ON n.filing_id = a.filing_id LEFT JOIN b ON n.filing_id = b.filing_id LEFT JOIN c ON n.filing_id = c.filing_id
+WHERE n.filing_id IS NOT NULL
+"""
+
+
+@query(_SUMMARY)
+def verify_summary(spark: SparkSession, d: str) -> DataFrame:
+    events = typed_events(spark, d).where("filing_id is not null").withColumn("pos", F.col("event_id"))
+    return verify.verification_summary(verify.verify(events), events)
+
+
+@query(f"""
+WITH {_TYPED}
+SELECT issuer_id, count(*) AS n_events,
+  CAST(coalesce(sum(CASE WHEN event_type = 'allotment' THEN shares END), 0) AS BIGINT) AS total_shares_allotted,
+  sum(CASE WHEN event_type = 'allotment' THEN 1 ELSE 0 END)::BIGINT AS allotment_events,
+  sum(CASE WHEN event_type = 'bonus_issue' THEN 1 ELSE 0 END)::BIGINT AS bonus_issues,
+  sum(CASE WHEN event_type = 'rights_issue' THEN 1 ELSE 0 END)::BIGINT AS rights_issues,
+  CAST(coalesce(sum(CASE WHEN event_type = 'dividend_declaration' THEN total_outflow END), 0) AS BIGINT) AS total_dividend_outflow,
+  CAST(coalesce(sum(CASE WHEN event_type = 'share_repurchase' THEN shares_bought_back END), 0) AS BIGINT) AS total_shares_bought_back,
+  CAST(coalesce(sum(CASE WHEN event_type = 'warrant_exercise' THEN warrants_exercised END), 0) AS BIGINT) AS total_warrants_exercised,
+  min(nullif(date, '')) AS first_date, max(nullif(date, '')) AS last_date
+FROM typed GROUP BY 1
+""")
+def report_metrics(spark: SparkSession, d: str) -> DataFrame:
+    events = typed_events(spark, d).withColumn("pos", F.col("event_id"))
+    return report.metrics(events, ["issuer_id"]).select(
+        "issuer_id", "n_events", "total_shares_allotted", "allotment_events", "bonus_issues", "rights_issues", "total_dividend_outflow", "total_shares_bought_back", "total_warrants_exercised", "first_date", "last_date"
+    )
+
+
+@query(f"""
+WITH {_TYPED}, c AS (SELECT issuer_id, new_capital, row_number() OVER (PARTITION BY issuer_id ORDER BY coalesce(date, '') DESC, event_id DESC) AS n FROM typed WHERE event_type = 'authorised_capital_change')
+SELECT issuer_id, new_capital AS latest FROM c WHERE n = 1
+""")
+def latest_capital(spark: SparkSession, d: str) -> DataFrame:
+    events = typed_events(spark, d).where("event_type = 'authorised_capital_change'").withColumn("pos", F.col("event_id"))
+    return report.metrics(events, ["issuer_id"]).select("issuer_id", F.col("latest_authorised_capital").alias("latest"))
+
+
+@query("""
+SELECT record_id, coalesce(nullif(date, ''), '9999-99-99') AS sort_date,
+  CASE WHEN event_type = 'bonus_issue' THEN 'Bonus issue ?' WHEN event_type = 'rights_issue' THEN 'Rights issue ? at Rs. ?'
+       WHEN event_type = 'warrant_exercise' THEN 'Warrant exercise'
+       ELSE 'Allotted ' || coalesce(format('{:,}', shares), '?') || ' shares' END AS headline
+FROM ola_drhp_extracted
+""")
+def timeline_sorted(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "ola_drhp_extracted").drop("issue_price")
+    null = lambda t: F.lit(None).cast(t)
+    o = o.withColumns({"allottee_category": null("string"), "issue_price": null("double"), "ratio": null("string"), "price": null("double"), "old_capital": null("bigint"), "new_capital": null("bigint"), "amount_per_share": null("double"), "shares_bought_back": null("bigint"), "warrants_exercised": null("bigint"), "pos": F.col("record_id")})
+    return report.timeline(o, ["record_id"]).select("record_id", "sort_date", "headline")
+
+
+@query("""
+SELECT event_id, concat_ws(', ', replace(coalesce(event_type, 'event'), '_', ' '),
+  CASE WHEN date <> '' THEN 'on ' || date END, CASE WHEN allottee_category <> '' THEN 'to ' || allottee_category END,
+  CASE WHEN shares <> '' THEN shares || ' shares' END, CASE WHEN ratio <> '' THEN 'ratio ' || ratio END,
+  CASE WHEN issue_price <> '' THEN 'at price ' || issue_price END, CASE WHEN consideration <> '' THEN 'for ' || consideration END,
+  CASE WHEN new_capital <> '' THEN 'authorised capital ' || coalesce(old_capital, 'None') || ' to ' || new_capital END,
+  CASE WHEN resolution_type <> '' THEN 'via ' || resolution_type END,
+  CASE WHEN shares_bought_back <> 0 THEN 'bought back ' || CAST(shares_bought_back AS VARCHAR) || ' shares' END,
+  CASE WHEN warrants_exercised <> 0 THEN CAST(warrants_exercised AS VARCHAR) || ' warrants exercised' END) AS sentence
+FROM sample_events
+""")
+def event_to_text(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "sample_events").drop("amount_per_share", "exercise_price")
+    return e.select("event_id", retrieval.event_text(e).alias("sentence"))
+
+
+_TOKENS = "[a-z0-9]+(?:[.,:][a-z0-9]+)*"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKENS}')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1
+""")
+def token_stats(spark: SparkSession, d: str) -> DataFrame:
+    posts = retrieval.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every evaluation item whose id is divisible by 20."""
+    return table(spark, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("item_text").alias("query"))
+
+
+_BM25 = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKENS}')) AS term FROM documents),
+dl AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '{_TOKENS}')) AS dl FROM documents),
+n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+raw AS (SELECT term, ln(n.n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf0 FROM tf, n GROUP BY term, n.n),
+idf AS (SELECT term, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM raw) ELSE idf0 END AS idf FROM raw),
+q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(item_text), '{_TOKENS}')) AS term FROM eval_items WHERE item_id % 20 = 0),
+qn AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY 1, 2),
+s AS (SELECT qn.query_id, tf.doc_id, round(sum(qn.qn * idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl.dl / n.avgdl))), 6) AS score
+  FROM qn JOIN tf ON qn.term = tf.term JOIN idf ON qn.term = idf.term JOIN dl ON tf.doc_id = dl.doc_id, n GROUP BY 1, 2),
+bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM s)"""
+
+
+@query(_BM25 + " SELECT query_id, doc_id, round(score, 3) AS score FROM bm WHERE rank <= 10 AND score > 0")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), 10).select("query_id", "doc_id", F.round("score", 3).alias("score"))
+
+
+_NEAR = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS query_label, round(list_sum(list_transform(list_zip(q.e, v.e), z -> (z[1] - z[2]) * (z[1] - z[2]))), 9) AS distance FROM v q, v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, CAST(vec_id AS VARCHAR)) AS rank FROM p)"""
+
+
+@query(_NEAR + " SELECT query_id, vec_id, round(1 / (1 + distance), 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    out = retrieval.nearest(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return out.select("query_id", "vec_id", retrieval.similarity(F.col("distance")).alias("score"), "rank")
+
+
+@query(_NEAR + """, f AS (SELECT query_id, min(rank) AS rank FROM r WHERE rank <= 11 AND vec_id <> query_id AND label = query_label GROUP BY 1),
+a AS (SELECT q.vec_id AS query_id, f.rank - 1 AS rank FROM embeddings q LEFT JOIN f ON q.vec_id = f.query_id WHERE q.vec_id % 20 = 0)
+SELECT round(avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1.0) ELSE 0 END), 4) AS ndcg, round(avg(coalesce(1.0 / rank, 0)), 4) AS mrr, count(*) AS n_queries FROM a""")
+def ndcg_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """First neighbour (itself aside) with the query's label."""
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
+    hits = retrieval.nearest(v, q, 11).join(v.select("vec_id", "label"), "vec_id").join(q.select("query_id", "wanted"), "query_id")
+    first = hits.where("vec_id <> query_id and label = wanted").groupBy("query_id").agg((F.min("rank") - 1).alias("rank"))
+    return evaluate.rank_quality(q.select("query_id").join(first, "query_id", "left"))
+
+
+_ALPHA = "CASE WHEN regexp_matches(item_text, '(\\d+\\.?\\d*\\s*(cr|crore|l|lakh|m|mn|b|bn|%))|(\\d[\\d,.]*)|(\\b\\d+:\\d+\\b)|(\\bin[a-z0-9]{10}\\b)', 'i') THEN 0.3 ELSE 0.6 END"
+
+
+@query(f"SELECT item_id, ({_ALPHA})::DOUBLE AS alpha FROM eval_items")
+def alpha_choice(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", text.alpha(F.col("item_text")).cast("double").alias("alpha"))
+
+
+@query()
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(table(spark, d, "documents"), _queries(spark, d), 5).select("query_id", "doc_id", "score", "strategy", "rank")
+
+
+@query()
+def ask_extractive(spark: SparkSession, d: str) -> DataFrame:
+    docs, q = table(spark, d, "documents"), _queries(spark, d)
+    hits = retrieval.graded(retrieval.search(docs, q, 5)).join(docs.select("doc_id", F.coalesce("heading", F.lit("document")).alias("text")), "doc_id")
+    return retrieval.answers(q, hits)
+
+
+_METHOD = "lower(trim(source_provenance.extraction_method))"
+
+
+@query(f"""
+WITH s AS (SELECT record_id, filing_id, event_type, date, shares, CASE WHEN {_METHOD} = 'table' THEN 1 ELSE 0 END AS side FROM ola_drhp_extracted)
+SELECT record_id FROM (SELECT record_id, row_number() OVER (PARTITION BY filing_id, event_type, date, shares ORDER BY side DESC, record_id DESC) AS n FROM s) t WHERE n = 1
+""")
+def dedup_merge(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "ola_drhp_extracted").select("record_id", "filing_id", "event_type", "date", "shares", F.lower(F.trim("source_provenance.extraction_method")).alias("m"))
+    is_table = F.coalesce(F.col("m") == "table", F.lit(False))
+    merged = dedup.merge_extractions(o.where(is_table), o.where(~is_table), ["event_type", "date", "shares"], "record_id", ["filing_id"])
+    return merged.select("record_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)), lang ORDER BY doc_id) AS n FROM documents) t WHERE n = 1")
+def dedup_hash(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return dedup.drop_repeats(docs, "doc_id").select("doc_id")
+
+
+_EVAL = """
+WITH p AS (SELECT DISTINCT filing_id, event_type, date FROM ola_drhp_extracted), g AS (SELECT DISTINCT filing_id, event_type, date FROM gold_events),
+k AS (SELECT filing_id, event_type, date, max(p) AS p, max(g) AS g FROM (SELECT *, 1 AS p, 0 AS g FROM p UNION ALL SELECT *, 0, 1 FROM g) t GROUP BY 1, 2, 3)"""
+_SCORES = """sum(p * g)::BIGINT AS tp, sum(p * (1 - g))::BIGINT AS fp, sum((1 - p) * g)::BIGINT AS fn"""
+_PRF = """tp, fp, fn, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 3)::DOUBLE AS precision, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 3)::DOUBLE AS recall,
+  round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 3)::DOUBLE AS f1"""
+
+
+@query(f"{_EVAL}, c AS (SELECT {_SCORES} FROM k) SELECT {_PRF} FROM c")
+def eval_prf(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.evaluate(table(spark, d, "ola_drhp_extracted"), table(spark, d, "gold_events"), ["filing_id", "event_type", "date"])
+
+
+@query(f"{_EVAL}, c AS (SELECT event_type, {_SCORES} FROM k WHERE event_type IS NOT NULL AND event_type <> '' GROUP BY 1) SELECT event_type, {_PRF} FROM c")
+def eval_per_type(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.per_type(table(spark, d, "ola_drhp_extracted"), table(spark, d, "gold_events"), key=["filing_id", "event_type", "date"])
+
+
+@query(f"""
+WITH g AS (SELECT DISTINCT filing_id, event_type, date FROM gold_events),
+m AS (SELECT coalesce({_METHOD}, 'llm') AS method, count(*) AS predicted, count(g.filing_id) AS correct FROM ola_drhp_extracted o
+  LEFT JOIN g ON o.filing_id IS NOT DISTINCT FROM g.filing_id AND o.event_type IS NOT DISTINCT FROM g.event_type AND o.date IS NOT DISTINCT FROM g.date GROUP BY 1)
+SELECT method, predicted, correct, round(correct * 1.0 / predicted, 3)::DOUBLE AS precision FROM m
+""")
+def eval_per_method(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "ola_drhp_extracted").withColumn("method", F.lower(F.trim("source_provenance.extraction_method")))
+    return evaluate.per_method(o, table(spark, d, "gold_events"), "method", ["filing_id", "event_type", "date"])
+
+
+@query(f"""{_EVAL}, s AS (SELECT k.* FROM k WHERE filing_id IN (SELECT filing_id FROM g)),
+c AS (SELECT filing_id, {_SCORES} FROM s GROUP BY 1 UNION ALL SELECT NULL, {_SCORES} FROM s) SELECT filing_id, {_PRF} FROM c""")
+def eval_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.corpus_scores(table(spark, d, "ola_drhp_extracted"), table(spark, d, "gold_events"), key=["event_type", "date"])
+
+
+def _rendered(rows: DataFrame, header: list[str], cells: list, key: str, order: str, heading: str) -> DataFrame:
+    """One Markdown document per key with the rows as one table."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.regexp_replace(c.cast("string"), "\\|", "\\\\\\\\|"), F.lit("")) for c in cells]), F.lit(" |"))
+    top = f"# {heading}\n\n[PAGE 7]\n| " + " | ".join(header) + " |\n" + "|---" * len(header) + "|\n"
+    body = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    return body.select(F.col(key).alias("filing_id"), F.concat(F.lit(top), "body", F.lit("\n\nEnd of table.\n")).alias("text"))
+
+
+@query("SELECT DISTINCT filing_id, date, shares, issue_price, 7 AS page_number FROM ola_drhp_extracted WHERE event_type = 'allotment' AND regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND shares IS NOT NULL AND issue_price IS NOT NULL")
+def md_roundtrip_allotment(spark: SparkSession, d: str) -> DataFrame:
+    """Allotments rendered as Markdown tables, parsed back; what differs in price only stays apart by the share count."""
+    o = table(spark, d, "ola_drhp_extracted").where("event_type = 'allotment' and shares is not null and issue_price is not null and date is not null")
+    doc = _rendered(o, ["Date of Allotment", "No. of Equity Shares", "Face value", "Issue Price (Rs.)", "Nature of consideration"], [F.col("date"), F.col("shares"), F.lit(10), F.col("issue_price"), F.lit("Cash")], "filing_id", "record_id", "Equity share capital")
+    return extract.table_events(markdown.parse_tables(doc)).where("event_type = 'allotment'").select("filing_id", "date", "shares", "issue_price", "page_number").distinct()
+
+
+@query("SELECT filing_id, ratio, count(*) AS n FROM (SELECT filing_id, regexp_replace(ratio, '\\s+', '', 'g') AS ratio FROM sample_events WHERE event_type = 'bonus_issue' AND regexp_matches(ratio, '\\d\\s*:\\s*\\d')) t GROUP BY 1, 2")
+def md_roundtrip_bonus(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "sample_events").where("event_type = 'bonus_issue' and ratio is not null")
+    doc = _rendered(e, ["Record date", "Ratio"], [F.lit("31-01-2019"), F.col("ratio")], "filing_id", "event_id", "Bonus issue")
+    return extract.table_events(markdown.parse_tables(doc)).where("event_type = 'bonus_issue'").groupBy("filing_id", "ratio").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT filing_id, ratio, count(*) AS n, sum(price) AS price FROM (SELECT filing_id, regexp_replace(ratio, '\\s+', '', 'g') AS ratio, 25.5 AS price FROM sample_events WHERE event_type = 'rights_issue' AND regexp_matches(ratio, '\\d\\s*:\\s*\\d')) t GROUP BY 1, 2".replace("sum(price) AS price", "sum(price)::DOUBLE AS price"))
+def md_roundtrip_rights(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "sample_events").where("event_type = 'rights_issue' and ratio is not null")
+    doc = _rendered(e, ["Record date", "Ratio", "Issue price"], [F.lit("January 31, 2019"), F.col("ratio"), F.lit("Rs. 25.50")], "filing_id", "event_id", "Rights Issue")
+    return extract.table_events(markdown.parse_tables(doc)).where("event_type = 'rights_issue'").groupBy("filing_id", "ratio").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
+
+
+@query("""SELECT issuer_id AS filing_id, count(*) AS n, CAST(sum(post_issue_capital) AS BIGINT) AS new_total FROM sample_events
+WHERE pre_issue_capital IS NOT NULL AND post_issue_capital >= 100000 GROUP BY 1""")
+def md_roundtrip_authorised(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "sample_events").where("pre_issue_capital is not null and post_issue_capital is not null")
+    doc = _rendered(e, ["Date of resolution", "Increased from", "Increased to", "Type of resolution"], [F.lit("2019-01-31"), F.col("pre_issue_capital"), F.col("post_issue_capital"), F.lit("Ordinary")], "issuer_id", "event_id", "Authorised capital")
+    return extract.table_events(markdown.parse_tables(doc)).where("event_type = 'authorised_capital_change'").groupBy("filing_id").agg(F.count(F.lit(1)).alias("n"), F.sum("new_capital").alias("new_total"))
+
+
+@query()
+def md_document_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events in the Markdown tables of the documents themselves, each once per document."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), "text")
+    return extract.extract_events(docs).select("filing_id", "event_type", "date", "shares", "ratio", "new_capital", "page_number", "source_snippet")
+
+
+@query("""
+WITH c AS (SELECT event_id, issue_price AS x FROM sample_events WHERE issue_price IS NOT NULL AND NOT regexp_matches(issue_price, '[०-९]')),
+v AS (SELECT event_id, x, TRY_CAST(replace(regexp_extract(x, '(-?\\d[\\d,]*(\\.\\d+)?)', 1), ',', '') AS DOUBLE) AS v FROM c)
+SELECT event_id, CASE WHEN v < 100000 THEN v * CASE WHEN regexp_matches(lower(x), '\\bcrore\\b|\\bcr\\b') THEN 1e7 WHEN regexp_matches(lower(x), '\\blakh\\b|\\blac\\b') THEN 1e5
+  WHEN regexp_matches(lower(x), '\\bbillion\\b|\\bbn\\b') THEN 1e9 WHEN regexp_matches(lower(x), '\\bmillion\\b|\\bmn\\b') THEN 1e6 ELSE 1 END ELSE v END AS amount FROM v
+""")
+def parse_amounts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "sample_events").where("issue_price is not null and not issue_price rlike '[०-९]'")
+    return e.select("event_id", numbers.cell_amount(F.col("issue_price")).alias("amount"))
+
+
+@query()
+def parse_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_events").where("date is not null").select("event_id", dates.cell_date(F.col("date")).alias("iso"))
+
+
+@query("""
+WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page FROM orders),
+n AS (SELECT o_custkey, count(*) AS n FROM p GROUP BY 1),
+s AS (SELECT p.o_custkey, p.page AS start_page, n.n FROM p JOIN n ON p.o_custkey = n.o_custkey WHERE (p.page - 1) % 2 = 0 AND (p.page = 1 OR p.page - 1 + 1 < n.n))
+SELECT s.o_custkey AS filing_id, s.start_page, max(p.page) AS end_page, CAST(sum(p.o_orderkey) AS BIGINT) AS key_sum
+FROM s JOIN p ON p.o_custkey = s.o_custkey AND p.page BETWEEN s.start_page AND s.start_page + 2 GROUP BY 1, 2
+""")
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of three pages that overlap by one, over each customer's orders as pages."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pages = table(spark, d, "orders").select(F.col("o_custkey").alias("filing_id"), F.row_number().over(w).cast("bigint").alias("page_number"), F.col("o_orderkey").cast("string").alias("text"))
+    out = provenance.page_windows(pages, 3, 1)
+    keys = F.filter(F.split("text", "\n"), lambda x: ~x.startswith("["))
+    return out.select("filing_id", "start_page", "end_page", F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("key_sum"))
+
+
+@query()
+def snippet_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted rows checked against pages put together from what the other extractions quote of them."""
+    o = table(spark, d, "ola_drhp_extracted")
+    pages = o.where("page_number > 0 and source_snippet is not null").groupBy("filing_id", "page_number").agg(F.array_join(F.sort_array(F.collect_set("source_snippet")), "\n").alias("text"))
+    out = provenance.attach_provenance(o.select("record_id", "filing_id", "page_number", "source_snippet", "confidence"), pages)
+    return out.select("record_id", "page_number", "confidence", F.length("source_snippet").alias("n_chars"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signup FROM events)
+SELECT event_id, signup FROM s
+""")
+def asof_section(spark: SparkSession, d: str) -> DataFrame:
+    """The last sign-up of the same user up to each event: a backward as-of fill, as for sections of a document."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("signup"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type IS NULL THEN 'event_type'
+  WHEN lower(event_type) = 'allotment' THEN nullif(concat_ws(', ', CASE WHEN shares IS NOT NULL AND NOT regexp_matches(trim(shares), '^[+-]?[0-9]+(\\.0+)?$') THEN 'allotment.shares' END,
+    CASE WHEN issue_price IS NOT NULL AND NOT regexp_matches(trim(issue_price), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN 'allotment.issue_price' END), '')
+  WHEN lower(event_type) = 'authorised_capital_change' THEN nullif(concat_ws(', ', CASE WHEN old_capital IS NOT NULL AND NOT regexp_matches(trim(old_capital), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN 'authorised_capital_change.old_capital' END,
+    CASE WHEN new_capital IS NOT NULL AND NOT regexp_matches(trim(new_capital), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN 'authorised_capital_change.new_capital' END), '') END AS error
+FROM sample_events
+""")
+def validate_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    return quality.validate(table(spark, d, "sample_events")).select("event_id", "error")
+
+
+@query("""SELECT record_id, CASE WHEN confidence IS NULL THEN '' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'middle' ELSE 'low' END AS bucket,
+  coalesce(confidence, 1) < 0.5 AS is_low FROM ola_drhp_extracted""")
+def conf_buckets(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "ola_drhp_extracted")
+    return o.select("record_id", quality.confidence_bucket("confidence").alias("bucket"), (F.coalesce(F.col("confidence"), F.lit(1.0)) < quality.MIDDLE).alias("is_low"))
+
+
+@query()
+def split_pages(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.split_pages(table(spark, d, "documents"), "doc_id").select("doc_id", "page_number", F.length("text").alias("n_chars"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'date of allotment') OR contains(lower(text), 'equity share capital') OR contains(lower(text), 'bonus') OR contains(lower(text), 'rights issue') OR contains(lower(text), 'authorised capital') OR contains(lower(text), 'authorized capital') OR contains(lower(text), 'allotment') OR contains(lower(text), 'face value') AS relevant FROM documents")
+def capital_signals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.mentions(F.col("text"), text.CAPITAL_SIGNALS).alias("relevant"))
+
+
+@query("""SELECT record_id, page_number, nullif(source_provenance.section, '') AS section_heading FROM ola_drhp_extracted WHERE page_number IS NOT NULL AND source_snippet IS NOT NULL""".replace("nullif(source_provenance.section, '')", "source_provenance.section"))
+def cited_events(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "ola_drhp_extracted").withColumn("event_id", F.col("record_id"))
+    return report.citations(o).select(F.col("event_id").cast("bigint").alias("record_id"), "page_number", "section_heading")
+
+
+@query()
+def report_brief(spark: SparkSession, d: str) -> DataFrame:
+    events = typed_events(spark, d).where("filing_id is not null").withColumn("pos", F.col("event_id"))
+    return report.brief(events, verify.verify(events))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events table read as a stream into a keyed count, all that is there and then stop."""
+    return ingest.counted_stream(spark, d)
