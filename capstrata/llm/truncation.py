@@ -29,19 +29,30 @@ PROSE_SHARE, TABLE_SHARE, WORD_SHARE = 0.0005, 0.01, 0.001
 #: Rows up to which the learned endings and limits are broadcast; they are bounded by 1 / share, and this is checked.
 SMALL = 100_000
 
-_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-_MARKS = "(?:\\s*(?:\\[PAGE\\s*[0-9]*\\]|\\[[0-9]{1,3}\\]|\\([0-9]{1,2}\\)|[*†‡#;]|\\s))+$"
+#: A month's name by its form; cheaper to look for than twelve names.
+_DATE = "[JFMASOND][a-z]{2,8} [0-9]{1,2}, [0-9]{4}(?![0-9])"
+_OTHER_BLANKS = "\t\n\x0b\f\r\u00a0\u202f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200C))
+_MARKS = "(?: ?(?:\\[PAGE ?[0-9]*\\]|\\[[0-9]{1,3}\\]|\\([0-9]{1,2}\\)|[*†‡#;]))+ ?$"
 
 
 def bare(text: Column) -> Column:
     """Single blanks, no footnote marks, page markers or blanks at the end."""
-    flat = F.regexp_replace(text, "[\\s\\u00A0\\u2000-\\u200B\\u202F\\u3000\\uFEFF]+", " ")
-    return F.trim(F.regexp_replace(flat, _MARKS, ""))
+    # Substring tests are far cheaper than regular expressions, and few values need either replacement.
+    odd = text.contains("  ")
+    for c in _OTHER_BLANKS:
+        odd = odd | text.contains(c)
+    flat = F.when(odd, F.regexp_replace(text, "[\\s\\u00A0\\u2000-\\u200B\\u202F\\u3000\\uFEFF]+", " ")).otherwise(text)
+    return F.trim(_unmarked(flat))
+
+
+def _unmarked(flat: Column) -> Column:
+    marked = F.right(flat, F.lit(1)).isin(*"])*†‡#; ") | F.right(flat, F.lit(24)).contains("[PAGE")
+    return F.when(marked, F.regexp_replace(flat, _MARKS, "")).otherwise(flat)
 
 
 def shape(unit: Column) -> Column:
     """A sentence or cell with full dates, numbers and capitalised names masked."""
-    out = F.regexp_replace(unit, _MONTH + " [0-9]{1,2}, [0-9]{4}(?![0-9])", "\u0002")
+    out = F.regexp_replace(unit, _DATE, "\u0002")
     out = F.regexp_replace(out, "\\p{Lu}[\\p{L}\\p{N}'’-]*(?: (?:\\p{Lu}[\\p{L}\\p{N}'’-]*))*", "N")
     out = F.regexp_replace(out, "[0-9][0-9,.]*(?<![,.])", "#")
     return F.translate(out, "\u0002", "D")
@@ -50,18 +61,20 @@ def shape(unit: Column) -> Column:
 def features(rows: DataFrame) -> DataFrame:
     """record_id, source_system, chars, bytes, is_table, ending (stop, open or none), shape, word of each non-blank snippet."""
     text = bare(F.col("source_snippet"))
-    df = rows.select("record_id", "source_system", F.col("source_snippet").alias("__x"), text.alias("__t")).where("__t <> ''")
+    df = rows.select("record_id", "source_system", F.col("source_snippet").alias("__x"), text.alias("__t")).where(F.col("__x").rlike("\\S"))
     df = df.withColumn("__table", F.col("__t").contains(" | "))
     # The last sentence; "Rs." and "No." end none.
-    unit = F.when(F.col("__table"), F.regexp_extract("__t", "([^|]*)$", 1)).otherwise(F.element_at(F.split(F.regexp_replace("__t", "(?<!\\b(?:Rs|No|Nos|Mr|Ms))([.!?][\"'”)]?) (?=[\\p{Lu}\\p{N}])", "$1\u0001"), "\u0001"), -1))
+    unit = F.when(F.col("__table"), F.substring_index("__t", "|", -1)).otherwise(F.element_at(F.split(F.regexp_replace("__t", "([.!?][\"'”)]?)(?<!\\b(?:Rs|No|Nos|Mr|Ms)\\.) (?=[\\p{Lu}\\p{N}])", "$1\u0001"), "\u0001"), -1))
     df = df.withColumn("__u", F.trim(unit))
-    stop = F.col("__t").rlike("[.!?][\"'”)\\]]*$") & ~F.col("__t").rlike("(?:\\b(?:Rs|No|Nos|Mr|Ms)|\\.)\\.$")
-    cut = F.col("__t").rlike("(?:[…\\uFFFD,:|(/₹&-]|\\.\\.|\\[PAGE ?[0-9]*|\\b(?:Rs|No|Nos)\\.)$")
+    # The endings looked for are short, so the last 16 characters decide them.
+    end = F.expr("right(__t, 16)")
+    stop = end.rlike("[.!?][\"'”)\\]]*$") & ~end.rlike("(?:\\b(?:Rs|No|Nos|Mr|Ms)|\\.)\\.$")
+    cut = end.rlike("(?:[…\\uFFFD,:|(/₹&-]|\\.\\.|\\[PAGE ?[0-9]*|\\b(?:Rs|No|Nos)\\.)$")
     body = F.regexp_replace("__u", "[.!?\"'”)\\]]+$", "")
-    word = F.translate(F.lower(F.regexp_extract("__u", "([\\p{L}\\p{N}]+)[^\\p{L}\\p{N}]*$", 1)), "0158", "olsb")
+    word = F.translate(F.lower(F.try_element_at(F.filter(F.split(body, "[^\\p{L}\\p{N}]+"), lambda w: w != ""), F.lit(-1))), "0158", "olsb")
     return df.select(
         "record_id", "source_system", F.char_length("__x").alias("chars"), F.octet_length("__x").alias("bytes"), F.col("__table").alias("is_table"),
-        F.when(cut, "open").when(stop, "stop").otherwise("none").alias("ending"),
+        F.when(cut, "open").when(stop | (F.col("__t") == ""), "stop").otherwise("none").alias("ending"),
         F.when(F.col("__table"), F.concat(F.size(F.split("__t", " \\| ")).cast("string"), F.lit("|"), shape(body))).otherwise(shape(body)).alias("shape"), word.alias("word"),
     )
 

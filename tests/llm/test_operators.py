@@ -120,7 +120,7 @@ def test_cut_snippets_are_told_from_whole_ones(spark):
     names = [f"{a}{b} Trust" for a in ("Alpha", "Beta", "Gamma", "Delta", "Omega") for b in ("ro", "vi", "lex", "mor")]
     whole = [f"{n} Equity Shares were allotted to {w} on June {n % 27 + 1}, 2011." for n, w in zip(range(100, 400), names * 15)]
     notes = [f"The allottees included {a} and {b}." for a, b in zip(names, names[1:])] * 4
-    texts = whole + notes + [w[:-1] for w in whole[:10]] + [w + " (1)" for w in whole[:5]] + [w[:-1] + " [PAGE 4]" for w in whole[:3]]
+    texts = whole + notes + [w[:-1] for w in whole[:10]] + [w + " (1)" for w in whole[:5]] + ["(1)", "* ;"] + [w[:-1] + " [PAGE 4]" for w in whole[:3]]
     good = len(texts)
     cut = [w[:45] for w in whole[:30]] + [whole[0][:30] + "…", whole[1][:33] + "�", whole[2][:40] + "-", notes[0][:-4], whole[3][:38] + " [PAGE"]
     texts += cut + [None, "", "  \n"]
