@@ -25,8 +25,9 @@ def cell_date(cell: Column) -> Column:
     """ISO date of a cell; the cleaned text where no form fits; null where nothing is left after cleaning."""
     text = F.regexp_replace(blanks(cell), "(?U)[*#^~†‡]+|\\(\\d+\\)|\\[\\d+\\]", "")
     text = F.trim(F.regexp_replace(F.trim(text), ",+$", ""))
-    parsed = F.coalesce(*[F.date_format(_try(text, f, s), "yyyy-MM-dd") for f, s in FORMS])
-    return F.when(text != "", F.coalesce(parsed, text))
+    # The lambda binds the cleaned text once; written out, each of the forms would clean it anew.
+    read = F.transform(F.array(text), lambda t: F.when(t != "", F.coalesce(*[F.date_format(_try(t, f, s), "yyyy-MM-dd") for f, s in FORMS], t)))
+    return F.get(read, F.lit(0))
 
 
 def is_iso(c: Column) -> Column:

@@ -1,12 +1,17 @@
-"""Capital events from table rows: column families, guards, provenance. Native columns throughout."""
+"""Capital events from table rows: column families, guards, provenance."""
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import cell_date, is_iso
-from ..functions.headers import NEEDLES, column_at
+from ..functions.headers import NEEDLES
 from ..functions.numbers import cell_amount, cell_count
 from ..functions.text import norm
 from .dedup import merge_extractions
@@ -20,11 +25,43 @@ EVENT_FIELDS = {
 }
 
 
-def _cell(headers: Column, cells: Column, at: Column) -> Column:
-    """The cell under the header at a place; of equal headers the last one present in the row counts."""
-    name = F.get(headers, at)
-    here = F.filter(F.transform(headers, lambda h, i: F.when((h == name) & (i < F.size(cells)), i)), lambda i: i.isNotNull())
-    return F.when(at.isNotNull() & (F.size(here) > 0), F.get(cells, F.element_at(here, -1)))
+@functools.lru_cache(maxsize=4096)
+def columns_of(headers: tuple[str, ...]) -> dict[str, int | None]:
+    """Place of each wanted column in a table's headers: the first header that holds any of its needles, punctuation
+    aside. Share counts come neither from the allotment date's column nor from cumulative ones."""
+    flat = [re.sub("[^a-z0-9]", "", x.lower()) for x in headers]
+
+    def first(name: str, barred: set[int] = frozenset()) -> int | None:
+        wanted = [re.sub("[^a-z0-9]", "", n) for n in NEEDLES[name]]
+        return next((i for i, x in enumerate(flat) if i not in barred and any(n in x for n in wanted)), None)
+
+    at = {name: first(name) for name in NEEDLES}
+    at["shares"] = first("shares", {i for i, x in enumerate(headers) if i == at["allot_date"] or "cumulative" in x})
+    return at
+
+
+def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells by the column they belong to. Under equal headers the last cell present in the row counts."""
+    for b in batches:
+        out = {f"c_{n}": [] for n in NEEDLES} | {"has": [], "share_header": [], "header_text": [], "row_text": []}
+        for headers, cells in zip(b["headers"], b["cells"]):
+            headers, row = tuple(headers), dict(zip(headers, cells))
+            at = columns_of(headers)
+            for n, i in at.items():
+                out[f"c_{n}"].append(None if i is None else row.get(headers[i]))
+            out["has"].append([n for n, i in at.items() if i is not None])
+            out["share_header"].append(headers[at["shares"]] if at["shares"] is not None else "")
+            out["header_text"].append(" ".join(headers))
+            out["row_text"].append(" | ".join(v for v in row.values() if v))
+        yield pd.concat([b.drop(columns=["headers", "cells"]).reset_index(drop=True), pd.DataFrame(out)], axis=1)
+
+
+def resolve_cells(rows: DataFrame, key: str = "filing_id") -> DataFrame:
+    """Rows of TABLE_ROWS with the cell of every wanted column. Headers are resolved once per table, in the Python
+    stage next to the parser, which also keeps later filters from being unfolded into nested array expressions."""
+    kept = [f for f in rows.schema if f.name not in ("headers", "cells")]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"c_{n} string" for n in NEEDLES], "has array<string>, share_header string, header_text string, row_text string"])
+    return rows.select(*[f.name for f in kept], "headers", "cells").mapInPandas(_resolved, schema)
 
 
 def _filled(c: Column) -> Column:
@@ -36,48 +73,41 @@ def table_events(rows: DataFrame, key: str = "filing_id") -> DataFrame:
 
     Per row the first family that succeeds wins: authorised capital, then bonus or rights, then allotment.
     """
-    h = F.col("headers")
-    # Column places depend on the headers only; they are projected once per row before cells are read.
-    at = {name: column_at(h, needles) for name, needles in NEEDLES.items() if name != "shares"}
-    df = rows.select("*", *[c.alias(f"at_{n}") for n, c in at.items()])
-    barred = F.filter(F.transform(h, lambda x, i: F.when((i == F.col("at_allot_date")) | x.contains("cumulative"), i)), lambda i: i.isNotNull())
-    df = df.withColumn("at_shares", column_at(h, NEEDLES["shares"], barred))
-    df = df.select("*", *[_cell(h, F.col("cells"), F.col(f"at_{n}")).alias(f"c_{n}") for n in NEEDLES])
+    df = resolve_cells(rows, key)
     c = lambda n: F.col(f"c_{n}")
-    has = lambda n: F.col(f"at_{n}").isNotNull()
-    null = lambda kind: F.lit(None).cast(kind)
+    has = lambda n: F.array_contains("has", n)
     resolution = F.nullif(norm(c("resolution")), F.lit(""))
 
-    def event(**fields: Column) -> Column:
-        return F.struct(*[fields.get(n, null(kind)).cast(kind).alias(n) for n, kind in EVENT_FIELDS.items()])
-
     old, new = cell_count(c("from")), cell_count(c("to"))
-    capital = F.when(
-        has("from") & has("to") & old.isNotNull() & (new >= LEAST_CAPITAL),
-        event(event_type=F.lit("authorised_capital_change"), date=cell_date(F.coalesce(_filled(c("date")), c("resolution"))), old_capital=old, new_capital=new, resolution_type=resolution),
-    )
-    context = norm(F.concat(F.coalesce("section", F.lit("")), F.lit(" "), F.array_join(h, " ")))
-    rights = context.contains("rights") & ~context.contains("bonus")
+    is_capital = has("from") & has("to") & old.isNotNull() & (new >= LEAST_CAPITAL)
+    context = norm(F.concat(F.coalesce("section", F.lit("")), F.lit(" "), F.col("header_text")))
     is_ratio = has("ratio") & (has("record") | has("allot_date")) & F.coalesce(c("ratio").rlike("(?U)\\d[\\d,]*\\s*:\\s*\\d[\\d,]*"), F.lit(False))
-    when = cell_date(F.coalesce(_filled(c("record")), c("date")))
-    ratio = F.regexp_replace(c("ratio"), "(?U)\\s+", "")
-    issue = F.when(is_ratio & rights, event(event_type=F.lit("rights_issue"), date=when, ratio=ratio, price=cell_amount(c("price")), shares_offered=cell_count(c("shares")))).when(
-        is_ratio, event(event_type=F.lit("bonus_issue"), date=when, ratio=ratio, shares_issued=cell_count(c("shares")))
-    )
-    share_header = F.coalesce(F.get(h, F.col("at_shares")), F.lit(""))
+    share_header = F.col("share_header")
     other_kind = ~share_header.contains("equity") & share_header.rlike("preference|ccps|ccp|warrant|debenture")
     primary = ~has("transaction") | norm(c("transaction")).contains("allotment")
-    day, shares = cell_date(c("allot_date")), cell_count(c("shares"))
-    allotment = F.when(
-        has("allot_date") & has("shares") & ~other_kind & primary & shares.isNotNull() & is_iso(day),
-        event(event_type=F.lit("allotment"), date=day, shares=shares, face_value=cell_amount(c("face")), issue_price=cell_amount(c("price")), consideration=F.nullif(norm(c("consideration")), F.lit(""))),
+    is_allotment = has("allot_date") & has("shares") & ~other_kind & primary & cell_count(c("shares")).isNotNull()
+    family = (
+        F.when(is_capital, "authorised_capital_change")
+        .when(is_ratio, F.when(context.contains("rights") & ~context.contains("bonus"), "rights_issue").otherwise("bonus_issue"))
+        .when(is_allotment, "allotment")
     )
-    df = df.withColumn("__e", F.coalesce(capital, issue, allotment)).where("__e is not null")
-    used = F.slice(h, F.lit(1), F.least(F.size(h), F.size("cells")))
-    row_text = F.array_join(F.filter(F.transform(F.array_distinct(used), lambda n: F.get(F.col("cells"), (F.size(used) - F.array_position(F.reverse(used), n)).cast("int"))), lambda x: x != ""), " | ")
+    df = df.withColumn("event_type", family).where("event_type is not null")
+    kind = F.col("event_type")
+    # One date cell is read per row, whichever family it is.
+    text = F.when(kind == "authorised_capital_change", F.coalesce(_filled(c("date")), c("resolution"))).when(kind == "allotment", c("allot_date")).otherwise(F.coalesce(_filled(c("record")), c("date")))
+    df = df.withColumn("date", cell_date(text)).where((kind != "allotment") | is_iso(F.col("date")))
+    only = lambda t, x: F.when(kind == t, x)
+    amount, count = cell_amount(c("price")), cell_count(c("shares"))
+    fields = {
+        "shares": only("allotment", count), "face_value": only("allotment", cell_amount(c("face"))), "issue_price": only("allotment", amount),
+        "consideration": only("allotment", F.nullif(norm(c("consideration")), F.lit(""))), "ratio": F.when(kind.isin("rights_issue", "bonus_issue"), F.regexp_replace(c("ratio"), "(?U)\\s+", "")),
+        "price": only("rights_issue", amount), "shares_offered": only("rights_issue", count), "shares_issued": only("bonus_issue", count),
+        "old_capital": only("authorised_capital_change", old), "new_capital": only("authorised_capital_change", new), "resolution_type": only("authorised_capital_change", resolution),
+    }
+    row_text = F.col("row_text")
     snippet = F.nullif(F.substring(F.when(row_text != "", row_text).otherwise(F.col("raw_text")), 1, SNIPPET), F.lit(""))
     return df.select(
-        key, (F.col("table_no").cast("bigint") * 1_000_000 + F.col("row_no")).alias("pos"), "__e.*", F.col("page_num").alias("page_number"), snippet.alias("source_snippet"),
+        key, (F.col("table_no").cast("bigint") * 1_000_000 + F.col("row_no")).alias("pos"), "event_type", "date", *[fields[n].cast(t).alias(n) for n, t in EVENT_FIELDS.items() if n in fields], F.col("page_num").alias("page_number"), snippet.alias("source_snippet"),
         F.lit(CONFIDENCE).alias("confidence"),
         F.struct(F.col("page_num").alias("page"), F.nullif("section", F.lit("")).alias("section"), F.lit("table").alias("extraction_method"), F.lit(CONFIDENCE).alias("confidence")).alias("source_provenance"),
     )

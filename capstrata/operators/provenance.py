@@ -27,7 +27,7 @@ def page_windows(pages: DataFrame, size: int = 2, overlap: int = 1, key: str = "
     bounds = pages.groupBy(key).agg(F.min(page).alias("__lo"), F.max(page).alias("__hi"))
     p = pages.join(bounds, key).withColumn("__i", F.col(page) - F.col("__lo")).withColumn("__n", F.col("__hi") - F.col("__lo") + 1)
     starts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("__i") - size + 1) / step)).cast("int"), F.floor(F.col("__i") / step).cast("int"))
-    w = p.withColumn("__s", F.explode(starts) * step).where((F.col("__s") == 0) | (F.col("__s") + overlap < F.col("__n")))
+    w = p.withColumn("__s", F.explode(starts)).withColumn("__s", F.col("__s") * step).where((F.col("__s") == 0) | (F.col("__s") + overlap < F.col("__n")))
     part = F.struct(F.col("__i"), F.concat(F.lit("[PAGE "), F.col(page).cast("string"), F.lit("]\n"), F.col(text)).alias("t"))
     out = w.groupBy(key, "__s").agg(F.min(page).alias("start_page"), F.max(page).alias("end_page"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("text"))
     return out.drop("__s")

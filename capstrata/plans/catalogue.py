@@ -37,9 +37,9 @@ def typed_events(spark: SparkSession, d: str) -> DataFrame:
 _TYPED = """typed AS (
   SELECT * REPLACE (
     CASE WHEN regexp_matches(trim(shares), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(shares) AS BIGINT) END AS shares,
-    CASE WHEN regexp_matches(trim(old_capital), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(old_capital) AS BIGINT) ELSE CAST(trunc(TRY_CAST(old_capital AS DOUBLE)) AS BIGINT) END AS old_capital,
-    CASE WHEN regexp_matches(trim(new_capital), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(new_capital) AS BIGINT) ELSE CAST(trunc(TRY_CAST(new_capital AS DOUBLE)) AS BIGINT) END AS new_capital,
-    CASE WHEN regexp_matches(trim(total_outflow), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(total_outflow) AS BIGINT) ELSE CAST(trunc(TRY_CAST(total_outflow AS DOUBLE)) AS BIGINT) END AS total_outflow,
+    CASE WHEN regexp_matches(trim(old_capital), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(old_capital) AS BIGINT) END AS old_capital,
+    CASE WHEN regexp_matches(trim(new_capital), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(new_capital) AS BIGINT) END AS new_capital,
+    CASE WHEN regexp_matches(trim(total_outflow), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(total_outflow) AS BIGINT) END AS total_outflow,
     TRY_CAST(issue_price AS DOUBLE) AS issue_price)
   FROM sample_events)"""
 
@@ -218,7 +218,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 _NEAR = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS query_label, round(list_sum(list_transform(list_zip(q.e, v.e), z -> (z[1] - z[2]) * (z[1] - z[2]))), 9) AS distance FROM v q, v WHERE q.vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS query_label, round(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS distance FROM v q, v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, CAST(vec_id AS VARCHAR)) AS rank FROM p)"""
 
 
