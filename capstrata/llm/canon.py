@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_distinct
+from ..session import cut_lineage
 
 FIELDS = ("allottee_category", "consideration", "resolution_type")
 
@@ -131,12 +132,13 @@ def near_matches(values: DataFrame, refs: DataFrame) -> DataFrame:
 def resolve_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """field_name, value (cleaned, distinct), term_id (0 if none)."""
     refs = references(terms)
-    values = values.distinct()
+    values = cut_lineage(values.distinct())
     exact = values.join(refs.select("field_name", F.col("ref").alias("value"), "term_id"), ["field_name", "value"])
     rest = values.join(exact.select("field_name", "value"), ["field_name", "value"], "left_anti")
     near = near_matches(rest.where(F.length("value") >= 3), refs)
     # A longer reference explains more of the value at the same distance.
     best = near.groupBy("field_name", "value").agg(F.min(F.struct("distance", (-F.col("ref_length")).alias("l"), "term_id")).alias("b")).select("field_name", "value", F.col("b.term_id").alias("term_id"))
+    best = cut_lineage(best)
     none = rest.join(best, ["field_name", "value"], "left_anti").withColumn("term_id", F.lit(0))
     return exact.select("field_name", "value", "term_id").unionByName(best).unionByName(none)
 
@@ -148,7 +150,8 @@ def map_to_terms(events: DataFrame, terms: DataFrame, fields: Sequence[str] = FI
     cells = cells.join(exact, ["field_name", "entry"], "left_anti")
 
     def resolve(present: DataFrame) -> DataFrame:
-        clean = present.withColumn("value", cleaned(F.col("entry")))
+        # Read by several branches; the distinct entries are written once instead of being found anew for each.
+        clean = cut_lineage(present.withColumn("value", cleaned(F.col("entry"))))
         answers = resolve_values(clean.select("field_name", "value"), terms)
         return clean.join(answers, ["field_name", "value"])
 
