@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import alpha, rendered, tokens, truthy
 
@@ -87,6 +88,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     total = held.count()
     numbered = held.withColumn("__n", F.row_number().over(Window.orderBy(query))) if total > block else held
     kind, key_kind = queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    arrow, key_arrow = to_arrow_type(queries.schema[query].dataType), to_arrow_type(vectors.schema[key].dataType)
     passes = []
     for start in range(0, max(total, 1), block):
         rows = (numbered.where((F.col("__n") > start) & (F.col("__n") <= start + block)) if total > block else numbered).collect()  # at most one block
@@ -113,7 +115,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
             if best_d.shape[1]:
                 n = best_d.shape[1]
                 out_q = [i for i in ids for _ in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(best_k.ravel().tolist()), pa.array(best_d.ravel())], names=[query, key, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, arrow), pa.array(best_k.ravel().tolist(), key_arrow), pa.array(best_d.ravel())], names=[query, key, "distance"])
 
         passes.append(vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(scan, f"`{query}` {kind}, `{key}` {key_kind}, distance double"))
     if not passes:

@@ -39,7 +39,8 @@ def _ddl(fields: str) -> str:
     return ", ".join(parts)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of every extraction file under a path; filing_id is the file's own path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("filing_id"), F.col("value").alias("text"))
+def read_events(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Events of every extraction file under a path, one document per file or per line; filing_id is the document's
+    source_file, else the file's own path."""
+    files = spark.read.text(path, wholetext=not per_line).select(F.coalesce(F.get_json_object("value", "$.source_file"), F.col("_metadata.file_path")).alias("filing_id"), F.col("value").alias("text"))
     return events_of(files)
