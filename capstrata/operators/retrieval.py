@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import alpha, rendered, tokens, truthy
+from ..session import cut_lineage
 
 #: Fixed values of the published Okapi variant and of the fusion.
 K1, B, EPSILON, RRF, DECAY, FLOOR, TOP = 1.5, 0.75, 0.25, 60, 0.1, 0.15, 5
@@ -41,9 +42,10 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return t.select(key, "dl", F.explode("__t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(posts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """term, df, idf, avgdl: negative idf is replaced by EPSILON times the mean idf of all terms."""
-    n = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+def term_stats(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """term, df, idf, avgdl: negative idf is replaced by EPSILON times the mean idf of all terms. Texts without a token
+    count as documents of length 0."""
+    n = docs.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(posts.agg(F.sum("tf").alias("total")))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
     raw = df.withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf0").alias("mean"))  # one row
@@ -61,9 +63,9 @@ def top_k(scored: DataFrame, query: str, key: str, k: int, by: Sequence[Column]
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """query, key, score, rank: Okapi BM25 with repeated query terms counted each time; scores of 0 or less do not
     rank. Scores are rounded to 6 places before ranking."""
-    posts = postings(docs, key, F.col(text))
-    lengths = docs.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl"))
-    stats = term_stats(posts, lengths)
+    # Read three times (corpus size, document frequencies, hits); written once, texts are split once.
+    posts = cut_lineage(postings(docs, key, F.col(text)))
+    stats = term_stats(posts, docs)
     wanted = queries.select(query, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qn"))
     hits = posts.join(wanted.join(stats, "term"), "term")
     part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
