@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import dedup, evaluate, extract, provenance, quality, report, retrieval, verify
-from ..session import table
+from ..session import spread_table, table
 from ..sources import markdown
 from ..streaming import ingest
 
@@ -188,7 +188,7 @@ WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKENS}')) A
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1
 """)
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
-    posts = retrieval.postings(table(spark, d, "documents"), "doc_id", F.col("text"))
+    posts = retrieval.postings(spread_table(spark, d, "documents"), "doc_id", F.col("text"))
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -213,7 +213,7 @@ bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 
 @query(_BM25 + " SELECT query_id, doc_id, round(score, 3) AS score FROM bm WHERE rank <= 10 AND score > 0")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), 10).select("query_id", "doc_id", F.round("score", 3).alias("score"))
+    return retrieval.bm25(spread_table(spark, d, "documents"), _queries(spark, d), 10).select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
 _NEAR = """
@@ -251,12 +251,12 @@ def alpha_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.search(table(spark, d, "documents"), _queries(spark, d), 5).select("query_id", "doc_id", "score", "strategy", "rank")
+    return retrieval.search(spread_table(spark, d, "documents"), _queries(spark, d), 5).select("query_id", "doc_id", "score", "strategy", "rank")
 
 
 @query()
 def ask_extractive(spark: SparkSession, d: str) -> DataFrame:
-    docs, q = table(spark, d, "documents"), _queries(spark, d)
+    docs, q = spread_table(spark, d, "documents"), _queries(spark, d)
     hits = retrieval.graded(retrieval.search(docs, q, 5)).join(docs.select("doc_id", F.coalesce("heading", F.lit("document")).alias("text")), "doc_id")
     return retrieval.answers(q, hits)
 
@@ -357,7 +357,7 @@ def md_roundtrip_authorised(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def md_document_events(spark: SparkSession, d: str) -> DataFrame:
     """Events in the Markdown tables of the documents themselves, each once per document."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), "text")
+    docs = spread_table(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), "text")
     return extract.extract_events(docs).select("filing_id", "event_type", "date", "shares", "ratio", "new_capital", "page_number", "source_snippet")
 
 
