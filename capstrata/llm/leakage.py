@@ -89,8 +89,8 @@ def _resident(items: DataFrame, limit: int) -> bool:
 
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, max_resident: int = MAX_RESIDENT) -> DataFrame:
     """doc_id, item_id of every document that holds at least ``span`` consecutive words of an item."""
-    items = items.select("item_id", "item_text").where("item_id is not null and item_text is not null")
-    docs = documents.select("doc_id", "text")
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_id is not null and item_text is not null")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if not _resident(items, max_resident):
         return _leaks_joined(docs, items, span, gram)
     held = items.collect()  # at most max_resident bytes

@@ -282,7 +282,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, ma
             n = np.diff(np.concatenate([new, [len(rows)]]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows[new])), pa.array(packed[new]), pa.array(n.astype(np.int64))], names=["doc_id", "pattern", "n"])
 
-    counted = documents.select("doc_id", "text", "lang", "heading", "issuer_id", "source").where("doc_id is not null and text is not null").mapInArrow(vote, "doc_id bigint, pattern bigint, n bigint")
+    counted = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "heading", "issuer_id", "source").where("doc_id is not null and text is not null").mapInArrow(vote, "doc_id bigint, pattern bigint, n bigint")
     counted = cut_lineage(counted)
     # Bounded by (classes + 1) ^ functions, and in fact by the few patterns that occur.
     tally = counted.groupBy("pattern").agg(F.sum("n").alias("n")).collect()

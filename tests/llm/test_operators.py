@@ -247,6 +247,7 @@ def test_leaks_match_brute_force_on_both_paths(spark):
         assert {tuple(r) for r in leakage.leaks(docs, ev, max_resident=limit).collect()} == want
         assert leakage.leaks(docs.limit(0), ev, max_resident=limit).count() == 0
         assert leakage.leaks(docs, ev.limit(0), max_resident=limit).count() == 0
+    assert {tuple(r) for r in leakage.leaks(docs.withColumn("doc_id", F.col("doc_id").cast("int")), ev).collect()} == want
     assert len(want) > 20
     assert sum(r.n_documents for r in leakage.leak_report(leakage.leaks(docs, ev), ev).collect()) == len(want)
 
