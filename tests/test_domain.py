@@ -119,6 +119,32 @@ def test_report(spark):
     assert report.metrics(e.limit(0)).count() == 0
 
 
+def test_brief_of_a_large_scope(spark):
+    """A scope above the size of a part gets its whole timeline, in ordered parts; so does a null scope."""
+    n = 10_050
+    kind = F.when(F.col("id") % 7 == 0, "authorised_capital_change").otherwise("allotment")
+    cols = {"filing_id": F.when(F.col("id") < n, "hot").when(F.col("id") < n + 3, "cold"), "pos": F.col("id") % 5000, "event_type": kind, "date": F.when(F.col("id") % 3 > 0, F.format_string("20%02d-01-01", F.col("id") * 7 % 20)), "shares": F.col("id"), "old_capital": F.col("id"), "new_capital": F.col("id") + 5, "page_number": F.lit(2)}
+    e = spark.range(n + 5).select(*[cols.get(f.split()[0], F.lit(None)).cast(f.split()[1]).alias(f.split()[0]) for f in EVENT.split(", ")])
+    issues = verify.verify(e)
+    got = {}
+    for r in report.brief(e, issues).orderBy("filing_id", "part").collect():
+        got.setdefault(r.filing_id, []).append(r)
+    assert {k: len(v) for k, v in got.items()} == {"hot": 6, "cold": 1, None: 1} and [r.part for r in got["hot"]] == [1, 2, 3, 4, 5, 6]
+    assert max(r.markdown.count("\n") for r in got["hot"]) < report.PART_LINES
+    plain = lambda f: [f"- **{r.date or 'undated'}** — {r.headline} (p. 2)" for r in sorted(f.collect(), key=lambda r: (r.sort_date, r.pos, r.headline))]
+    for scope in ("hot", "cold", None):
+        text = "\n".join(r.markdown for r in got[scope])
+        shown = text.split("## Capital timeline\n\n")[1].split("\n\n## Verification\n\n")
+        assert shown[0].split("\n") == plain(report.timeline(e.where(F.col("filing_id").eqNullSafe(scope))))
+        found = issues.where(F.col("filing_id").eqNullSafe(scope)).count()
+        assert sum(x.startswith("    - [") for x in shown[1].split("\n")) == found
+        assert shown[1].endswith(f"0 of {len(shown[0].splitlines())} events are page-cited back to the source filing.*")
+    # Cut small or left whole, the brief reads the same.
+    small = report.brief(e, issues, part_lines=100).orderBy("filing_id", "part").collect()
+    whole = report.brief(e, issues, part_lines=20_000).where("filing_id = 'hot'").collect()
+    assert "\n".join(r.markdown for r in small if r.filing_id == "hot") == whole[0].markdown == "\n".join(r.markdown for r in got["hot"]) and len(whole) == 1
+
+
 def test_merging_and_repeats(spark):
     e = events(spark, {"event_type": "a", "date": "d", "shares": 1, "event_id": "t1"}, {"event_type": "a", "date": "d", "shares": 1, "event_id": "t2"}, {"event_type": "b", "event_id": "t3"})
     o = events(spark, {"event_type": "a", "date": "d", "shares": 1, "event_id": "m1"}, {"event_type": "c", "date": None, "event_id": "m2"}, {"event_type": "c", "date": None, "event_id": "m3"})
