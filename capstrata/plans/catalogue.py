@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import dedup, evaluate, extract, provenance, quality, report, retrieval, verify
-from ..session import spread_table, table
+from ..session import cut_lineage, spread_table, table
 from ..sources import markdown
 from ..streaming import ingest
 
@@ -393,12 +393,37 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     return out.select("filing_id", "start_page", "end_page", F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("key_sum"))
 
 
+#: Fixed value: most quotes from which one part of a page is put together.
+PART_QUOTES = 256
+
+
+def _altered(record: Column, snippet: Column) -> Column:
+    """A snippet misread in every 16th character, in every 4th, or with its words in reverse order, by record."""
+    misread = lambda n: F.regexp_replace(snippet, f"(?s).(.{{0,{n - 1}}})", "~$1")
+    return F.when(record % 3 == 0, misread(16)).when(record % 3 == 1, misread(4)).otherwise(F.array_join(F.reverse(F.split(snippet, " ")), " "))
+
+
 @query()
 def snippet_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Extracted rows checked against pages put together from what the other extractions quote of them."""
-    o = table(spark, d, "ola_drhp_extracted")
-    pages = o.where("page_number > 0 and source_snippet is not null").groupBy("filing_id", "page_number").agg(F.array_join(F.sort_array(F.collect_set("source_snippet")), "\n").alias("text"))
-    out = provenance.attach_provenance(o.select("record_id", "filing_id", "page_number", "source_snippet", "confidence"), pages)
+    """Extracted rows with altered snippets checked against pages put together from what all extractions quote of them, so
+    that the comparison decides. Pages with many quotes are put together, and compared, in parts."""
+    return checked_snippets(table(spark, d, "ola_drhp_extracted"))
+
+
+def checked_snippets(o: DataFrame, part_quotes: int = PART_QUOTES) -> DataFrame:
+    rows = o.select("record_id", "filing_id", "page_number", _altered(F.col("record_id"), F.col("source_snippet")).alias("source_snippet"), "confidence")
+    quotes = o.where("page_number > 0 and source_snippet is not null").select("filing_id", "page_number", "source_snippet")
+    page = ["filing_id", "page_number"]
+    text = F.array_join(F.sort_array(F.collect_set("source_snippet")), "\n").alias("text")
+    hot = cut_lineage(quotes.groupBy(*page).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_quotes))
+    if hot.isEmpty():
+        out = provenance.attach_provenance(rows, quotes.groupBy(*page).agg(text))
+    else:
+        hot = F.broadcast(hot)
+        out = provenance.attach_provenance(rows.join(hot, page, "left_anti"), quotes.join(hot, page, "left_anti").groupBy(*page).agg(text))
+        part = F.pmod(F.xxhash64("source_snippet"), F.ceil(F.col("n") / part_quotes)).alias("part")
+        parts = quotes.join(hot, page).groupBy(*page, part).agg(text)
+        out = out.unionByName(provenance.attach_provenance(rows.join(hot, page, "left_semi"), parts, part="part"))
     return out.select("record_id", "page_number", "confidence", F.length("source_snippet").alias("n_chars"))
 
 

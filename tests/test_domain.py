@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from capstrata.functions import dates, headers, numbers, text
 from capstrata.operators import dedup, evaluate, extract, provenance, quality, report, retrieval, verify
 from capstrata.operators.skew import attach_group
+from capstrata.plans import catalogue
 from capstrata.sources import json_events, markdown, plugins, sinks
 
 EVENT = (
@@ -263,6 +264,32 @@ def test_provenance(spark):
     assert provenance.match_ratio("abcd", "abcx") == SequenceMatcher(None, "abcd", "abcx").ratio()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc ~", max_size=40), st.text("abc ", max_size=120), st.integers(0, 60), st.integers(1, 9))
+def test_snippet_decision_is_that_of_the_full_comparison(snippet, page, start, every):
+    for x in (snippet, "".join("~" if i % every == 0 else c for i, c in enumerate(page[start : start + 60]))):
+        assert provenance.stands(x, page) == (provenance.match_ratio(x, page) >= provenance.MATCH)
+
+
+def test_altered_snippets_are_compared(spark):
+    """Light misreads stand, heavy ones and reversed words do not; in page parts as on whole pages."""
+    said = [f"Our Board approved the allotment of {n},000 Equity Shares to the promoters named below on March {n}, 2019." for n in range(10, 16)]
+    rows = [(i, f"F{i}", 3, t, 0.9) for i, t in enumerate(said)] + [(6, "F6", None, "x", 0.9), (7, "F7", -1, "y", 0.9), (8, "F8", 4, None, 0.9)]
+    # A page of many quotes, each long and unlike the others.
+    many = [" ".join(chr(97 + (k * k + j * (k + 3)) % 26) * 3 + str(k * j) for j in range(8)) for k in range(40)]
+    rows += [(100 + k, "hot", 9, t, None) for k, t in enumerate(many)]
+    o = spark.createDataFrame(rows, "record_id bigint, filing_id string, page_number int, source_snippet string, confidence double")
+    got = {r.record_id: r for r in catalogue.checked_snippets(o, 5).collect()}
+    assert len(got) == len(rows)
+    assert [got[i].confidence for i in range(6)] == [0.9, 0.7, 0.7, 0.9, 0.7, 0.7]
+    assert [(got[i].page_number, got[i].n_chars) for i in (6, 7, 8)] == [(None, 1), (None, None), (None, None)]
+    e = o.where("filing_id = 'hot'").select("record_id", "filing_id", "page_number", catalogue._altered(F.col("record_id"), F.col("source_snippet")).alias("s")).collect()
+    part = {r.source_snippet: r.p for r in o.where("filing_id = 'hot'").select("source_snippet", F.pmod(F.xxhash64("source_snippet"), F.lit(8)).alias("p")).collect()}
+    texts = [" ".join(sorted(t for t in many if part[t] == p)).lower() for p in set(part.values())]
+    want = {r.record_id: 1.0 if any(provenance.match_ratio(" ".join(r.s.split()).lower(), t) >= provenance.MATCH for t in texts) else 0.7 for r in e}
+    assert {k: got[k].confidence for k in want} == want and set(want.values()) == {0.7, 1.0}
+
+
 def test_validation_and_listing(spark):
     raw = spark.createDataFrame([(1, "allotment", "10", "5.5"), (2, "allotment", "ten", None), (3, "allotment", "10.0", "x"), (4, "other", "ten", None), (5, None, "1", None)], "pos bigint, event_type string, shares string, issue_price string")
     got = {r.pos: r.error for r in quality.validate(raw).collect()}
