@@ -82,8 +82,9 @@ def cleaned(c: Column) -> Column:
 
 
 def edits(length: Column) -> Column:
-    """Edits within which a reference of that many letters is searched for; ``close`` decides."""
-    return F.when(length <= 3, 0).when(length <= 5, 2).when(length <= 9, 3).otherwise(4)
+    """Edits within which a reference of that many letters is searched for, at least all that ``close`` accepts: two
+    swaps are four edits."""
+    return F.when(length <= 3, 0).when(length <= 5, 2).otherwise(4)
 
 
 def close(value: Column, ref: Column) -> Column:

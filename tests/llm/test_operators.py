@@ -180,6 +180,17 @@ def test_pigeonhole_join_loses_nothing(spark):
 # ---- packing
 
 
+def test_two_swaps_in_a_short_reference_are_found(spark):
+    """Two swaps are four edits; a candidate search of fewer segments than five misses some of them."""
+    terms = spark.createDataFrame([("c", 7, "promoters"), ("c", 8, "public")], "field_name string, term_id int, term string")
+    vals = spark.createDataFrame([("c", "pormoetrs"), ("c", "upblci"), ("c", "opmroters")], "field_name string, value string")
+    ref = canon.references(terms)
+    pairs = vals.crossJoin(F.broadcast(ref.drop("field_name"))).withColumn("distance", canon.close(F.col("value"), F.col("ref"))).where("distance is not null")
+    want = {(r.value, r.term_id, r.distance) for r in pairs.collect()}
+    assert {("pormoetrs", 7, 2), ("upblci", 8, 2)} <= want
+    assert {(r.value, r.term_id, r.distance) for r in canon.near_matches(vals, ref).collect()} == want
+
+
 def test_best_fill_is_optimal():
     rng = random.Random(3)
     for _ in range(60):
