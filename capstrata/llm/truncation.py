@@ -105,7 +105,8 @@ def judged(rows: DataFrame) -> DataFrame:
     df = feats
     for unit in ("chars", "bytes"):
         df = df.join(at(unit), F.col("source_system").eqNullSafe(F.col(f"__s_{unit}")) & (F.col(unit) == F.col(f"__l_{unit}")), "left")
-    df = df.withColumn("at_limit", F.col("__l_chars").isNotNull() | F.col("__l_bytes").isNotNull()).drop("__s_chars", "__l_chars", "__s_bytes", "__l_bytes")
+    df = df.withColumns({"__at_chars": F.col("__l_chars").isNotNull(), "__at_bytes": F.col("__l_bytes").isNotNull()}).drop("__s_chars", "__l_chars", "__s_bytes", "__l_bytes")
+    df = df.withColumn("at_limit", F.col("__at_chars") | F.col("__at_bytes"))
     whole = df.where(F.when(F.col("is_table"), ~F.col("at_limit") & (F.col("ending") != "open")).otherwise(F.col("ending") == "stop"))
     totals = whole.groupBy("is_table").agg(F.count(F.lit(1)).alias("__all"))
     least = lambda share: F.greatest(F.lit(2), F.ceil(F.col("__all") * share))
@@ -124,18 +125,23 @@ def judged(rows: DataFrame) -> DataFrame:
     finished = F.coalesce("__ok_shape", F.lit(False)) & (~ends_in_name | F.coalesce("__ok_word", F.lit(False)))
     df = df.withColumn("__done", F.when(F.col("ending") == "open", F.lit(False)).when(F.col("ending") == "stop", F.lit(True)).otherwise(finished))
     piled = _piled(df)
-    df = df.join(piled, F.col("source_system").eqNullSafe(F.col("__s")) & F.col("chars").eqNullSafe(F.col("__c")) & (F.col("shape") == F.col("__shape")), "left")
-    is_cut = ~F.col("__done") | (F.col("at_limit") & (F.col("ending") == "none") & F.col("__shape").isNotNull())
+    for unit in ("chars", "bytes"):
+        own = piled.where(F.col("unit") == unit).select(F.col("source_system").alias("__s"), F.col("length").alias("__n"), F.col("shape").alias(f"__piled_{unit}"))
+        df = df.join(own, F.col("source_system").eqNullSafe(F.col("__s")) & (F.col(unit) == F.col("__n")) & (F.col("shape") == F.col(f"__piled_{unit}")), "left").drop("__s", "__n")
+    is_cut = ~F.col("__done") | ((F.col("ending") == "none") & (F.col("__piled_chars").isNotNull() | F.col("__piled_bytes").isNotNull()))
     return df.select("record_id", "source_system", "at_limit", is_cut.alias("is_cut"))
 
 
 def _piled(df: DataFrame) -> DataFrame:
-    """Finished-looking shapes with which longer ones begin and that are several times as frequent at a limit as near it."""
-    n = df.where("__done and ending = 'none' and __open_ended").groupBy("source_system", "chars", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("at_limit").alias("at"))
-    near = Window.partitionBy("source_system", "shape").orderBy("chars").rangeBetween(-REACH, REACH)
-    rate = n.withColumn("usual", (F.sum(F.when(~F.col("at"), F.col("n"))).over(near)) / (2 * REACH))
+    """source_system, unit, length, shape: finished-looking shapes with which longer ones begin and that are several times
+    as frequent at a limit as near it, counted in the unit of the limit."""
+    each = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length"), F.col(f"__at_{u}").alias("at")) for u in ("chars", "bytes")]))
+    stacked = df.where("__done and ending = 'none' and __open_ended").select("source_system", "shape", "at_limit", each.alias("x"))
+    n = stacked.groupBy("source_system", "x.unit", "x.length", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("x.at").alias("at"), F.max("at_limit").alias("any"))
+    near = Window.partitionBy("source_system", "unit", "shape").orderBy("length").rangeBetween(-REACH, REACH)
+    rate = n.withColumn("usual", (F.sum(F.when(~F.col("any"), F.col("n"))).over(near)) / (2 * REACH))
     found = rate.where(F.col("at") & (F.col("n") >= LEAST) & (F.col("n") >= TIMES * F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1.0))))
-    return _small(found.select(F.col("source_system").alias("__s"), F.col("chars").alias("__c"), F.col("shape").alias("__shape")))
+    return _small(found.select("source_system", "unit", "length", "shape"))
 
 
 def cut_records(rows: DataFrame) -> DataFrame:

@@ -134,6 +134,19 @@ def test_cut_snippets_are_told_from_whole_ones(spark):
     assert truncation.cut_records(df.limit(0)).count() == 0
 
 
+def test_cuts_at_a_byte_limit_are_counted_in_bytes(spark):
+    """Multi-byte letters spread one byte limit over many lengths in characters; the finished-looking cuts still pile up."""
+    tail = "The allottees included the promoters"
+    cut = ["é" * k + "e" * (60 - 2 * k) + ". " + tail for k in range(1, 13)] * 2
+    assert {len(t.encode()) for t in cut} == {62 + len(tail)} and len({len(t) for t in cut}) == 12
+    whole = [f"{'e' * n}. {tail}{end}." for n in range(1, 40) for end in ("", " and others")]
+    texts = [("lim", t) for t in cut] + [("s", t) for t in whole] + [("s", whole[0][:-1])]
+    df = spark.createDataFrame([(i, src, t) for i, (src, t) in enumerate(texts)], "record_id bigint, source_system string, source_snippet string")
+    caps = {(r.unit, r.length) for r in truncation.limits(truncation.features(df)).collect() if r.source_system == "lim"}
+    assert caps == {("bytes", 62 + len(tail))}
+    assert {r[0] for r in truncation.cut_records(df).collect()} == set(range(len(cut)))
+
+
 # ---- canon
 
 
