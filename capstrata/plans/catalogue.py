@@ -327,7 +327,17 @@ def _rendered(rows: DataFrame, header: list[str], cells: list, key: str, order:
 @query("SELECT DISTINCT filing_id, date, shares, issue_price, 7 AS page_number FROM ola_drhp_extracted WHERE event_type = 'allotment' AND regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND shares IS NOT NULL AND issue_price IS NOT NULL")
 def md_roundtrip_allotment(spark: SparkSession, d: str) -> DataFrame:
     """Allotments rendered as Markdown tables, parsed back; what differs in price only stays apart by the share count."""
-    o = table(spark, d, "ola_drhp_extracted").where("event_type = 'allotment' and shares is not null and issue_price is not null and date is not null")
+    return _allotments(table(spark, d, "ola_drhp_extracted").where("issue_price is not null"))
+
+
+@query("SELECT DISTINCT filing_id, date, shares, issue_price, 7 AS page_number FROM ola_drhp_extracted WHERE event_type = 'allotment' AND regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND shares IS NOT NULL")
+def md_roundtrip_allotment_all(spark: SparkSession, d: str) -> DataFrame:
+    """``md_roundtrip_allotment`` with the rows that have no price, whose cells are empty."""
+    return _allotments(table(spark, d, "ola_drhp_extracted"))
+
+
+def _allotments(o: DataFrame) -> DataFrame:
+    o = o.where("event_type = 'allotment' and shares is not null and date is not null")
     doc = _rendered(o, ["Date of Allotment", "No. of Equity Shares", "Face value", "Issue Price (Rs.)", "Nature of consideration"], [F.col("date"), F.col("shares"), F.lit(10), F.col("issue_price"), F.lit("Cash")], "filing_id", "record_id", "Equity share capital")
     return extract.table_events(markdown.parse_tables(doc)).where("event_type = 'allotment'").select("filing_id", "date", "shares", "issue_price", "page_number").distinct()
 

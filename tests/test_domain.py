@@ -290,6 +290,14 @@ def test_altered_snippets_are_compared(spark):
     assert {k: got[k].confidence for k in want} == want and set(want.values()) == {0.7, 1.0}
 
 
+def test_allotments_without_a_price_come_back(spark, sf):
+    got = catalogue.QUERIES["md_roundtrip_allotment_all"](spark, sf)
+    o = spark.read.parquet(f"{sf}/ola_drhp_extracted.parquet").where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("event_type") == "allotment") & F.col("shares").isNotNull())
+    want = o.select("filing_id", "date", "shares", "issue_price", F.lit(7).alias("page_number")).distinct()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(got) == rows(want) and got.where("issue_price is null").count() > 0
+
+
 def test_validation_and_listing(spark):
     raw = spark.createDataFrame([(1, "allotment", "10", "5.5"), (2, "allotment", "ten", None), (3, "allotment", "10.0", "x"), (4, "other", "ten", None), (5, None, "1", None)], "pos bigint, event_type string, shares string, issue_price string")
     got = {r.pos: r.error for r in quality.validate(raw).collect()}
