@@ -180,6 +180,20 @@ def event_to_text(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", retrieval.event_text(e).alias("sentence"))
 
 
+@query()
+def event_to_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """``event_to_text`` with every column, dividends and exercise prices included."""
+    e = table(spark, d, "sample_events")
+    return e.select("event_id", retrieval.event_text(e).alias("sentence"))
+
+
+@query()
+def timeline_events(spark: SparkSession, d: str) -> DataFrame:
+    """The timeline of the events with all their figures."""
+    e = typed_events(spark, d).withColumn("pos", F.col("event_id"))
+    return report.timeline(e, ["event_id"]).select("event_id", "sort_date", "headline")
+
+
 _TOKENS = "[a-z0-9]+(?:[.,:][a-z0-9]+)*"
 
 

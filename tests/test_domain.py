@@ -298,6 +298,25 @@ def test_allotments_without_a_price_come_back(spark, sf):
     assert rows(got) == rows(want) and got.where("issue_price is null").count() > 0
 
 
+def test_texts_and_timeline_show_every_figure(spark, sf):
+    e = {r.event_id: r for r in catalogue.typed_events(spark, sf).collect()}
+    texts = {r.event_id: r.sentence for r in catalogue.QUERIES["event_to_text_all"](spark, sf).collect()}
+    lines = {r.event_id: r.headline for r in catalogue.QUERIES["timeline_events"](spark, sf).collect()}
+    assert set(texts) == set(lines) == set(e)
+    for i, r in e.items():
+        assert (f"dividend {r.amount_per_share} per share" in texts[i]) == bool(r.amount_per_share)
+        assert (f"exercise price {r.exercise_price}" in texts[i]) == bool(r.exercise_price)
+        if r.event_type == "allotment":
+            assert lines[i].endswith(f" at Rs. {r.issue_price}") == bool(r.issue_price)
+        if r.event_type == "dividend_declaration":
+            assert lines[i] == f"Dividend Rs. {'?' if r.amount_per_share is None else r.amount_per_share}/share"
+        if r.event_type == "bonus_issue":
+            assert lines[i] == f"Bonus issue {'?' if r.ratio is None else r.ratio}"
+        if r.event_type == "share_repurchase":
+            assert lines[i] == ("Share repurchase" if r.shares_bought_back is None else f"Buyback of {r.shares_bought_back:,} shares")
+    assert any(r.amount_per_share for r in e.values()) and any(r.exercise_price for r in e.values())
+
+
 def test_validation_and_listing(spark):
     raw = spark.createDataFrame([(1, "allotment", "10", "5.5"), (2, "allotment", "ten", None), (3, "allotment", "10.0", "x"), (4, "other", "ten", None), (5, None, "1", None)], "pos bigint, event_type string, shares string, issue_price string")
     got = {r.pos: r.error for r in quality.validate(raw).collect()}
