@@ -396,6 +396,18 @@ def parse_amounts(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", numbers.cell_amount(F.col("issue_price")).alias("amount"))
 
 
+@query("""
+WITH c AS (SELECT event_id, issue_price AS x, translate(issue_price, '०१२३४५६७८९', '0123456789') AS y FROM sample_events WHERE issue_price IS NOT NULL),
+v AS (SELECT event_id, x, TRY_CAST(replace(regexp_extract(y, '(-?\\d[\\d,]*(\\.\\d+)?)', 1), ',', '') AS DOUBLE) AS v FROM c)
+SELECT event_id, CASE WHEN v < 100000 THEN v * CASE WHEN regexp_matches(lower(x), '\\bcrore\\b|\\bcr\\b') THEN 1e7 WHEN regexp_matches(lower(x), '\\blakh\\b|\\blac\\b') THEN 1e5
+  WHEN regexp_matches(lower(x), '\\bbillion\\b|\\bbn\\b') THEN 1e9 WHEN regexp_matches(lower(x), '\\bmillion\\b|\\bmn\\b') THEN 1e6 ELSE 1 END ELSE v END AS amount FROM v
+""")
+def parse_amounts_all(spark: SparkSession, d: str) -> DataFrame:
+    """``parse_amounts`` with the cells in Devanagari digits."""
+    e = table(spark, d, "sample_events").where("issue_price is not null")
+    return e.select("event_id", numbers.cell_amount(F.col("issue_price")).alias("amount"))
+
+
 @query()
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_events").where("date is not null").select("event_id", dates.cell_date(F.col("date")).alias("iso"))

@@ -317,6 +317,13 @@ def test_texts_and_timeline_show_every_figure(spark, sf):
     assert any(r.amount_per_share for r in e.values()) and any(r.exercise_price for r in e.values())
 
 
+def test_amounts_in_devanagari_digits_are_kept(spark, tmp_path):
+    cells = [(1, "१,२५०.५०"), (2, "Rs. २ crore"), (3, "12.5"), (4, None), (5, "—")]
+    spark.createDataFrame(cells, "event_id bigint, issue_price string").write.parquet(str(tmp_path / "sample_events.parquet"))
+    got = {r.event_id: r.amount for r in catalogue.QUERIES["parse_amounts_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1250.5, 2: 2e7, 3: 12.5, 5: None}
+
+
 def test_validation_and_listing(spark):
     raw = spark.createDataFrame([(1, "allotment", "10", "5.5"), (2, "allotment", "ten", None), (3, "allotment", "10.0", "x"), (4, "other", "ten", None), (5, None, "1", None)], "pos bigint, event_type string, shares string, issue_price string")
     got = {r.pos: r.error for r in quality.validate(raw).collect()}
