@@ -19,6 +19,12 @@ def _salt(df: DataFrame, by: Column, salts: int) -> DataFrame:
     return df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by hash for work that is heavy per row: in as many parts as there are cores, which are not
+    put together again however few bytes they hold."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def attach_group(
     df: DataFrame, keys: Sequence[str], spread: str, aggs: Sequence[Column], merge: Sequence[Column], salts: int = SALTS
 ) -> DataFrame:
@@ -44,11 +50,12 @@ def lookup_distinct(
 ) -> DataFrame:
     """Resolve each distinct key once by ``resolve(distinct_keys) -> keys + outputs`` and hand it back to every row.
 
-    The distinct keys are found with map-side combine; the answer is repeated once per salt present, so
+    The distinct keys (with their numbers of rows, ``__rows``) are found with map-side combine; the answer is repeated once per salt present, so
     a value held by a third of all rows is joined in ``salts`` tasks.
     """
     salted = _salt(df, F.col(spread), salts)
-    present = salted.select(*keys, "__salt").distinct().groupBy(*keys).agg(F.collect_set("__salt").alias("__salts"))
+    n = salted.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    present = n.groupBy(*keys).agg(F.collect_set("__salt").alias("__salts"), F.sum("__n").alias("__rows"))
     answers = resolve(present).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.explode("__salts").alias("__s"), *outputs)
     cond = F.col("__salt") == F.col("__s")
     for k in keys:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,13 @@ CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
+_scratch: set[str] = set()
+
 
 def get_session(master: str | None = None, app: str = "capstrata", **conf: str) -> SparkSession:
     """A session with CONF applied; on a cluster the launcher's own settings for memory and cores hold."""
@@ -31,20 +35,38 @@ def get_session(master: str | None = None, app: str = "capstrata", **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir. Only a session on one machine may name none; there, a folder of
+    its own is used. On a cluster that is an error, since executors could not read each other's local folders."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="capstrata-ckpt-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = tempfile.mkdtemp(prefix="capstrata-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this application below ``checkpoint_dir``, removed when the driver ends."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/capstrata-{spark.sparkContext.applicationId}"
+    if base not in _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch.add(base)
+    return base
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor, unlike a cached or local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder and read back, so it survives the loss of any executor. Unlike a checkpoint, what is
+    read back can be pruned by column and brings no inherited constraints, which are dear to the planner."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
