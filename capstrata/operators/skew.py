@@ -26,9 +26,9 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
 
 
 def attach_group(
-    df: DataFrame, keys: Sequence[str], spread: str, aggs: Sequence[Column], merge: Sequence[Column], salts: int = SALTS
+    df: DataFrame, keys: Sequence[str], spread: str, aggs: Sequence[Column], merge: Sequence[Column], salts: int = SALTS, having: str | None = None
 ) -> DataFrame:
-    """Give every row its group's aggregates without holding a group in one task.
+    """Give every row its group's aggregates without holding a group in one task; only rows of groups that meet ``having``.
 
     ``aggs`` fold rows per (keys, salt); ``merge`` fold those partial results per key. A row joins the
     copy of the result made for its own salt, so a hot group is spread over ``salts`` tasks. Keys match
@@ -37,6 +37,7 @@ def attach_group(
     salted = _salt(df, F.col(spread), salts)
     part = salted.groupBy(*keys, "__salt").agg(*aggs)
     whole = part.groupBy(*keys).agg(*merge, F.collect_set("__salt").alias("__salts"))
+    whole = whole.where(having) if having else whole
     spreaded = whole.select("*", F.explode("__salts").alias("__salt")).drop("__salts")
     right = spreaded.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__salt").alias("__s"), *[c for c in whole.columns if c not in keys and c != "__salts"])
     cond = F.col("__salt") == F.col("__s")
