@@ -1,12 +1,12 @@
 """Duplicates hidden by formatting differences: Merkle-style hashing of nested records.
 
-Leaves are normalised and hashed; an unordered node (a record or map, whose field order means nothing) hashes
-its children's labelled digests in sorted order, an ordered node (an array) in given order. Rows with the same
-root digest are grouped, and the group key also holds the canonical form, so membership is confirmed by full
-structural comparison and a digest collision cannot join different records.
+Leaves are normalised and hashed, each record once; an unordered node (a record or map, whose field order means nothing) hashes
+its children's labelled digests in sorted order, an ordered node (an array) in given order. Rows are
+grouped by root digest; where a digest occurs twice, they are grouped again by the canonical form as well, so
+membership is confirmed by full structural comparison and a digest collision cannot join different records.
 
-Defined results: null equals only null, an absent field is null; a leaf of punctuation only is an empty text.
-Rows without filing, event type, date, or any of the other fields belong to no group. Exactly repeated ids
+Defined results: null equals only null, an absent field is null; a leaf of punctuation only is present and an empty
+text. Rows without filing, event type, date, or any of the other fields belong to no group. Exactly repeated ids
 count as copies of the group but give no (keep, copy) pair with themselves. Empty input gives empty results.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import attach_group
+from ..session import cut_lineage
 
 FIELDS = ("event_type", "date", "shares", "ratio")
 
@@ -36,8 +37,8 @@ def in_parts(c: Column) -> Column:
 
 
 def ratio_sides(c: Column) -> Column:
-    """in_parts with digit grouping inside a side removed."""
-    return in_parts(F.regexp_replace(c, "(?<=[0-9])[,'’](?=[0-9]{3}(?![0-9]))", ""))
+    """The sides of a ratio kept apart and in order, each squeezed."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "[:：/∶-]+", "|"), "[^\\p{L}\\p{M}\\p{N}|]+", ""), "^\\|+|\\|+$", "")
 
 
 NORMALISERS: dict[str, Callable[[Column], Column]] = {"event_type": squeezed, "shares": squeezed, "date": in_parts, "ratio": ratio_sides}
@@ -78,21 +79,21 @@ def labelled(raw: Column, field: str) -> Column:
 
 def record_digests(events: DataFrame, key: str = "event_id") -> DataFrame:
     """key, filing_id, digest and canonical form of each row that can have copies."""
-    value = F.struct(*[F.coalesce(F.col(f), labelled(F.col("raw_text"), f)).alias(f) for f in FIELDS])
-    rows = events.where("filing_id is not null").select(key, "filing_id", value.alias("__r"))
+    value = lambda f: NORMALISERS[f](F.coalesce(F.col(f), labelled(F.col("raw_text"), f)))
+    # Through a generator, so that neither the filter nor the digests below evaluate the leaves again.
+    leaves = F.inline(F.array(F.struct(*[value(f).alias(f"__{f}") for f in FIELDS])))
+    rows = events.where("filing_id is not null").select(key, "filing_id", leaves)
     kind = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
-    digest, canon = merkle(F.col("__r"), kind, leaves=NORMALISERS)
-    present = lambda f: F.coalesce(NORMALISERS[f](F.col(f"__r.{f}")) != "", F.lit(False))
-    return rows.where(present("event_type") & present("date") & (present("shares") | present("ratio"))).select(key, "filing_id", digest.alias("digest"), canon.alias("canonical"))
+    digest, canon = merkle(F.struct(*[F.col(f"__{f}").alias(f) for f in FIELDS]), kind, leaf=lambda c: c)
+    return rows.where("__event_type is not null and __date is not null and (__shares is not null or __ratio is not null)").select(key, "filing_id", digest.alias("digest"), canon.alias("canonical"))
 
 
 def copies(events: DataFrame, key: str = "event_id") -> DataFrame:
     """keep_id, copy_id: each later copy beside the smallest id of its group."""
-    rows = record_digests(events, key)
-    out = attach_group(
-        rows, ["filing_id", "digest", "canonical"], key,
-        [F.min(key).alias("__min"), F.count(F.lit(1)).alias("__n")], [F.min("__min").alias("keep_id"), F.sum("__n").alias("n_copies")],
-    )
+    # Read twice: narrow, to find the digests that occur more than once, and in full for these.
+    rows = cut_lineage(record_digests(events, key))
+    twice = attach_group(rows, ["filing_id", "digest"], key, [F.count(F.lit(1)).alias("__n")], [F.sum("__n").alias("__n")], having="__n > 1").drop("__n")
+    out = attach_group(twice, ["filing_id", "digest", "canonical"], key, [F.min(key).alias("__min")], [F.min("__min").alias("keep_id")])
     return out.where(F.col(key) > F.col("keep_id")).select("keep_id", F.col(key).alias("copy_id"))
 
 
