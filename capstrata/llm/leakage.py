@@ -1,13 +1,13 @@
 """Evaluation texts leaking into training text, by winnowing.
 
 Both sides are fingerprinted (least k-gram hash per window of k-grams); with k + w - 1 = the shortest span that
-counts, every shared span of that length shares a fingerprint, so nothing is missed. Equal fingerprints are
-extended word by word in both directions, and a pair counts if a run reaches the required length.
+counts, every shared span of that length shares a fingerprint at the same place of the span, so nothing is missed.
+Equal fingerprints are joined and extended in both directions; a pair counts if the run reaches the required length.
 
-The evaluation side is a bounded set in practice; its size is checked. Up to ``MAX_RESIDENT`` bytes it is sent
-to the executors as one sorted index and documents are matched in a single narrow pass without any shuffle.
-Beyond that, both sides' fingerprints are joined as DataFrames and the hits extended after joining the texts.
-Both ways give the same rows.
+A fingerprint carries the hashes of the span - k words on either side of it, which is all that extending it can need.
+So no text is looked up again: it does not matter how often a ``doc_id`` occurs, and what is shuffled is the hits. Of
+the evaluation side a bitmap of fixed size goes to the executors, by which documents drop fingerprints that no item
+has before anything is joined. Every fingerprint is salted, so one of boilerplate is joined in many tasks.
 
 Defined results: null and short texts match nothing; repeated documents each give their rows; a repeated
 ``doc_id`` or ``item_id`` gives one row per pair. Very long texts are processed whole. Empty inputs give empty
@@ -19,130 +19,77 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import SALTS
+from ..session import cut_lineage
 from . import fingerprint as fp
 
 SPAN, GRAM = 15, 5
-#: Bytes of evaluation text that may be held by every Python worker.
-MAX_RESIDENT = 16 << 20
-
-
-class EvalIndex:
-    """Word hashes and winnowed fingerprints of the evaluation items, sorted by fingerprint."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], span: int = SPAN, gram: int = GRAM):
-        self.ids, self.span, self.gram = np.asarray(ids, dtype=np.int64), span, gram
-        self.words: list[np.ndarray] = []
-        prints, items, spots = [], [], []
-        for i, n, raw, offsets in fp.text_chunks(pa.array(texts, pa.string())):
-            h, rows, _, _ = fp.words(raw, offsets)
-            cut = np.searchsorted(rows, np.arange(n + 1))
-            self.words += [h[cut[r] : cut[r + 1]] for r in range(n)]
-            at = fp.winnow(h, rows, gram, span - gram + 1)
-            prints.append(fp.gram_hashes(h, gram)[at])
-            items.append(rows[at] + i)
-            spots.append(at - cut[rows[at]])
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-        prints, self.item, self.spot = cat(prints, np.uint64), cat(items, np.int64), cat(spots, np.int64)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.item, self.spot = prints[order], self.item[order], self.spot[order]
-
-    def matches(self, hashes: np.ndarray, rows: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item number) of every shared run of at least ``span`` words."""
-        out: set[tuple[int, int]] = set()
-        at = fp.winnow(hashes, rows, self.gram, self.span - self.gram + 1)
-        if not len(at) or not len(self.prints):
-            return out
-        kept = fp.gram_hashes(hashes, self.gram)[at]
-        lo, hi = np.searchsorted(self.prints, kept, side="left"), np.searchsorted(self.prints, kept, side="right")
-        for x in np.flatnonzero(hi > lo):
-            p = int(at[x])
-            for e in range(int(lo[x]), int(hi[x])):
-                pair = (int(rows[p]), int(self.item[e]))
-                if pair not in out and run_length(hashes, rows, p, self.words[pair[1]], int(self.spot[e]), self.span) >= self.span:
-                    out.add(pair)
-        return out
-
-
-def run_length(hashes: np.ndarray, rows: np.ndarray, p: int, item: np.ndarray, q: int, enough: int) -> int:
-    """Length of the run of equal words through document word p and item word q."""
-    row, left, right = rows[p], 0, 0
-    while q - left > 0 and p - left > 0 and rows[p - left - 1] == row and hashes[p - left - 1] == item[q - left - 1]:
-        left += 1
-        if left >= enough:
-            return left
-    while q + right < len(item) and p + right < len(hashes) and rows[p + right] == row and hashes[p + right] == item[q + right]:
-        right += 1
-        if left + right >= enough:
-            break
-    return left + right
-
-
-def _resident(items: DataFrame, limit: int) -> bool:
-    size = items.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
-    return size <= limit
-
-
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, max_resident: int = MAX_RESIDENT) -> DataFrame:
-    """doc_id, item_id of every document that holds at least ``span`` consecutive words of an item."""
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_id is not null and item_text is not null")
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    if not _resident(items, max_resident):
-        return _leaks_joined(docs, items, span, gram)
-    held = items.collect()  # at most max_resident bytes
-    index = docs.sparkSession.sparkContext.broadcast(EvalIndex([r[0] for r in held], [r[1] for r in held], span, gram))
+#: Bits of the bitmap of evaluation fingerprints, whatever their number (8 MB; with 10 million items' worth of 100 million
+#: fingerprints most bits are set and it drops little, but nothing is lost).
+BITS = 1 << 26
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        for b in batches:
-            ids, found = b.column("doc_id"), set()
-            for first, _, raw, offsets in fp.text_chunks(b.column("text")):
-                h, rows, _, _ = fp.words(raw, offsets)
-                found |= {(first + r, i) for r, i in ix.matches(h, rows)}
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in pairs], pa.int64())), pa.array([int(ix.ids[i]) for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
+PRINTS = "print bigint, left array<bigint>, right array<bigint>"
 
-    return docs.where("text is not null and doc_id is not null").mapInArrow(scan, "doc_id bigint, item_id bigint").distinct()
 
+def _around(hashes: np.ndarray, rows: np.ndarray, at: np.ndarray, start: int, step: int, n: int) -> pa.Array:
+    """For each position the hashes of up to n words of its row, going from ``start`` on by ``step``."""
+    where = at[:, None] + start + step * np.arange(n)[None]
+    inside = (where >= 0) & (where < len(hashes))
+    where = np.where(inside, where, 0)
+    inside &= rows[where] == rows[at][:, None]
+    counts = inside.sum(axis=1)
+    values = hashes[where][inside].view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
-def fingerprints(df: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """key, print, spot: the winnowed fingerprints of each text with the word position they start at."""
+
+def fingerprints(df: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM, bitmap=None) -> DataFrame:
+    """key, print and the words left (nearest first) and right of it, of the winnowed fingerprints of each text; with
+    ``bitmap`` (a broadcast), of those whose bit is set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value if bitmap is not None else None
         for b in batches:
-            for first, n, raw, offsets in fp.text_chunks(b.column(1)):
+            for first, _, raw, offsets in fp.text_chunks(b.column(1)):
                 h, rows, _, _ = fp.words(raw, offsets)
                 at = fp.winnow(h, rows, gram, span - gram + 1)
-                cut = np.searchsorted(rows, np.arange(n + 1))
+                prints = fp.gram_hashes(h, gram)[at]
+                if bits is not None:
+                    slot = prints % np.uint64(BITS)
+                    kept = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    at, prints = at[kept], prints[kept]
                 keys = b.column(0).take(pa.array(rows[at] + first))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(fp.gram_hashes(h, gram)[at].view(np.int64)), pa.array(at - cut[rows[at]], pa.int64())], names=[key, "print", "spot"])
-
-    return df.select(key, text).where(f"{key} is not null and {text} is not null").mapInArrow(scan, f"{key} bigint, print bigint, spot bigint")
-
-
-def _leaks_joined(docs: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame:
-    left = fingerprints(docs, "doc_id", "text", span, gram)
-    right = fingerprints(items, "item_id", "item_text", span, gram).withColumnRenamed("spot", "item_spot")
-    # One hit per diagonal: further fingerprints on it extend to the same run or are covered by another.
-    hits = left.join(right, "print").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("spot", "item_spot")).alias("hits"))
-    both = hits.join(docs.where("text is not null"), "doc_id").join(items, "item_id")
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for doc, item, hits_, text, item_text in zip(pdf["doc_id"], pdf["item_id"], pdf["hits"], pdf["text"], pdf["item_text"]):
-                (_, _, a, ao), (_, _, b, bo) = next(fp.text_chunks(pa.array([text]))), next(fp.text_chunks(pa.array([item_text])))
-                h, rows, _, _ = fp.words(a, ao)
-                g = fp.words(b, bo)[0]
-                if any(run_length(h, rows, int(x["spot"]), g, int(x["item_spot"]), span) >= span for x in hits_):
-                    keep.append((doc, item))
-            yield pd.DataFrame(keep, columns=["doc_id", "item_id"]).astype("int64")
-
-    return both.select("doc_id", "item_id", "hits", "text", "item_text").mapInPandas(extend, "doc_id bigint, item_id bigint").distinct()
+                yield pa.RecordBatch.from_arrays([keys, pa.array(prints.view(np.int64)), _around(h, rows, at, -1, -1, span - gram), _around(h, rows, at, gram, 1, span - gram)], names=[key, "print", "left", "right"])
+
+    return df.select(F.col(key).cast("bigint").alias(key), text).where(f"{key} is not null and {text} is not null").mapInArrow(scan, f"{key} bigint, {PRINTS}")
+
+
+def print_bitmap(prints: DataFrame) -> np.ndarray:
+    """BITS bits as 64-bit words; at most BITS / 64 rows reach the driver, whatever the number of fingerprints."""
+    slot = F.pmod("print", F.lit(BITS))
+    words = prints.select(F.shiftrightunsigned(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(print, {BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _same(a: Column, b: Column) -> Column:
+    """How many elements two arrays agree in from their beginning on."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(equal, False), F.lit(0)) - 1, F.size(equal))
+
+
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """doc_id, item_id of every document that holds at least ``span`` consecutive words of an item."""
+    right = cut_lineage(fingerprints(items, "item_id", "item_text", span, gram))
+    bitmap = documents.sparkSession.sparkContext.broadcast(print_bitmap(right))
+    left = fingerprints(documents, "doc_id", "text", span, gram, bitmap).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    right = right.select("item_id", "print", F.col("left").alias("l"), F.col("right").alias("r"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    hits = left.join(right, ["print", "salt"]).where(_same(F.col("left"), F.col("l")) + _same(F.col("right"), F.col("r")) + gram >= span)
+    return hits.select("doc_id", "item_id").distinct()
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
