@@ -29,8 +29,9 @@ PROSE_SHARE, TABLE_SHARE, WORD_SHARE = 0.0005, 0.01, 0.001
 #: Rows up to which the learned endings and limits are broadcast; they are bounded by 1 / share, and this is checked.
 SMALL = 100_000
 
-#: A month's name by its form; cheaper to look for than twelve names.
-_DATE = "[JFMASOND][a-z]{2,8} [0-9]{1,2}, [0-9]{4}(?![0-9])"
+#: The months' names and usual short forms, by their first letters.
+_MONTH = "(?:J(?:an(?:uary)?|une?|uly?)|Feb(?:ruary)?|Ma(?:r(?:ch)?|y)|A(?:pr(?:il)?|ug(?:ust)?)|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_DATE = _MONTH + " [0-9]{1,2}, [0-9]{4}(?![0-9])"
 _OTHER_BLANKS = "\t\n\x0b\f\r\u00a0\u202f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200C))
 _MARKS = "(?: ?(?:\\[PAGE ?[0-9]*\\]|\\[[0-9]{1,3}\\]|\\([0-9]{1,2}\\)|[*†‡#;]))+ ?$"
 
@@ -46,7 +47,8 @@ def bare(text: Column) -> Column:
 
 
 def _unmarked(flat: Column) -> Column:
-    marked = F.right(flat, F.lit(1)).isin(*"])*†‡#; ") | F.right(flat, F.lit(24)).contains("[PAGE")
+    # Every mark ends in one of these.
+    marked = F.right(flat, F.lit(1)).isin(*"])*†‡#; ")
     return F.when(marked, F.regexp_replace(flat, _MARKS, "")).otherwise(flat)
 
 
@@ -66,10 +68,13 @@ def features(rows: DataFrame) -> DataFrame:
     # The last sentence; "Rs." and "No." end none.
     unit = F.when(F.col("__table"), F.substring_index("__t", "|", -1)).otherwise(F.element_at(F.split(F.regexp_replace("__t", "([.!?][\"'”)]?)(?<!\\b(?:Rs|No|Nos|Mr|Ms)\\.) (?=[\\p{Lu}\\p{N}])", "$1\u0001"), "\u0001"), -1))
     df = df.withColumn("__u", F.trim(unit))
-    # The endings looked for are short, so the last 16 characters decide them.
-    end = F.expr("right(__t, 16)")
-    stop = end.rlike("[.!?][\"'”)\\]]*$") & ~end.rlike("(?:\\b(?:Rs|No|Nos|Mr|Ms)|\\.)\\.$")
-    cut = end.rlike("(?:[…\\uFFFD,:|(/₹&-]|\\.\\.|\\[PAGE ?[0-9]*|\\b(?:Rs|No|Nos)\\.)$")
+    # Closing quotes and brackets taken away, the last sign tells a stop; what is compared with "Nos." has five signs at most.
+    end = F.expr("rtrim('\"”'')]', __t)")
+    short = F.right(end, F.lit(5)).rlike("\\b(?:Rs|Nos?|Mr|Ms)\\.$") | end.endswith("..")
+    stop = F.right(end, F.lit(1)).isin(*".!?") & ~(short & (end == F.col("__t")))
+    last = F.right("__t", F.lit(1))
+    page = F.expr("rtrim(rtrim('0123456789', __t))").endswith("[PAGE")
+    cut = last.isin(*"…\uFFFD,:|(/₹&-") | F.col("__t").endswith("..") | page | F.right("__t", F.lit(5)).rlike("\\b(?:Rs|Nos?)\\.$")
     body = F.regexp_replace("__u", "[.!?\"'”)\\]]+$", "")
     word = F.translate(F.lower(F.try_element_at(F.filter(F.split(body, "[^\\p{L}\\p{N}]+"), lambda w: w != ""), F.lit(-1))), "0158", "olsb")
     return df.select(
