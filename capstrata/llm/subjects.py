@@ -12,7 +12,8 @@ patterns), the accuracy of every function and the share of every subject are lea
 without labels, and each pattern gets posterior subject probabilities. A document's share of an area is the mean
 posterior over its sentences.
 
-Defined results: null and empty texts have no sentence and no area; repeated documents each get theirs; without
+Defined results: null and empty texts have no sentence and no area; a repeated ``doc_id`` is one document of all its
+sentences; without
 any label there is no lexicon and no area; very long texts are processed whole. Only named columns are read.
 """
 
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import fingerprint as fp
 
-#: At most so many labelled documents of a language are used to fit its lexicons (of at most four times as many drawn).
-MAX_LABELLED = 4000
+#: At most so many labelled documents of a language, and so many bytes of their whole texts, are used to fit its lexicons
+#: (of at most four times as many labelled ids drawn).
+MAX_LABELLED, MAX_BYTES = 4000, 32 << 20
 #: Share of a document's sentences from which on it treats an area.
 SHARE = 0.1
 FUNCTIONS = ("lexicon", "phrases", "section", "address", "source")
 
 _SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32, 0xA0]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER_OR_DIGIT = np.zeros(256, dtype=bool)
 _LOWER_OR_DIGIT[ord("a") : ord("z") + 1] = True
 _LOWER_OR_DIGIT[ord("0") : ord("9") + 1] = True
@@ -50,6 +52,9 @@ def sentence_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
     space = _SPACE[raw]
+    # A no-break space is two bytes in UTF-8.
+    wide = np.flatnonzero((raw[:-1] == 0xC2) & (raw[1:] == 0xA0))
+    space[wide] = space[wide + 1] = True
     # The first non-blank position at or after each byte.
     nxt = np.where(space, n, np.arange(n))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
@@ -250,12 +255,14 @@ def learn_accuracies(votes: np.ndarray, counts: np.ndarray, classes: int, rounds
     return accuracy, share, post
 
 
-def _fit(documents: DataFrame, labels: DataFrame, subjects: list[int], max_labelled: int) -> Voters:
+def _fit(documents: DataFrame, labels: DataFrame, subjects: list[int], max_labelled: int, max_bytes: int = MAX_BYTES) -> Voters:
     own = labels.where("doc_id is not null and subject_id is not null").groupBy("doc_id").agg(F.collect_set("subject_id").alias("own"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * max_labelled)
-    # At most 4 x max_labelled rows, so this side may be broadcast, and at most that many texts are gathered.
-    held = documents.select("doc_id", "text", "lang", "issuer_id", "source").where("text is not null").join(F.broadcast(own), "doc_id").limit(4 * max_labelled)
-    held = held.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__r") <= max_labelled).collect()
+    # At most 4 x max_labelled ids, so this side may be broadcast. Which texts are held depends on ids and texts alone.
+    held = documents.select("doc_id", "text", "lang", "issuer_id", "source").where("text is not null").join(F.broadcast(own), "doc_id")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    held = held.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_labelled).withColumn("__b", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    held = held.where(F.col("__b") <= max_bytes).drop("__b").collect()
     held.sort(key=lambda r: (r["doc_id"], r["text"]))
     return Voters(subjects, [r["text"] for r in held], [set(r["own"]) for r in held], [r["lang"] for r in held], [r["issuer_id"] for r in held], [r["source"] for r in held])
 
