@@ -170,7 +170,7 @@ def by_words(values: DataFrame, refs: DataFrame) -> DataFrame:
     split = F.transform(content_words(F.regexp_replace(F.regexp_replace("value", _PART_OF, ""), "^non(?=[a-z]{3})", "non ")), _same_not)
     each = values.select("field_name", "value", split.alias("w")).withColumn("nv", F.size("w")).select("field_name", "value", "nv", F.posexplode("w").alias("pos", "word"))
     names = cut_lineage(word_references(refs))
-    found = word_matches(each.select("field_name", "word").distinct(), names)
+    found = word_matches(spread(each.select("field_name", "word").distinct(), "field_name", "word"), names)
     # A word of the value counts for one place of an entry: the nearest, then the first.
     one = each.join(found, ["field_name", "word"]).groupBy("field_name", "value", "nv", "term_id", "pos").agg(F.min(F.struct("cost", "at", "to")).alias("m"))
     places = F.array_distinct(F.flatten(F.collect_list(F.sequence("m.at", "m.to"))))  # at most the words of an entry
@@ -222,7 +222,7 @@ def map_to_terms(events: DataFrame, terms: DataFrame, fields: Sequence[str] = FI
 
     def resolve(present: DataFrame) -> DataFrame:
         # Read by several branches; the distinct entries are written once instead of being found anew for each.
-        clean = cut_lineage(present.withColumn("value", cleaned(F.col("entry"))))
+        clean = cut_lineage(spread(present, "field_name", "entry").withColumn("value", cleaned(F.col("entry"))))
         answers = resolve_values(clean.select("field_name", "value", F.col("__rows").alias("n")), terms)
         return clean.join(answers, ["field_name", "value"])
 
