@@ -44,7 +44,9 @@ ABBREVIATIONS = {
 }
 #: Words after a clock time that say nothing on its zone.
 LOCAL_WORDS = ("", "hrs", "hrs.", "hours", "uhr", "h", "local time")
-YEARS = (1900, 2100)
+#: Years for which intervals are listed; those at the ends are open, so the first offset holds for all time before (a
+#: zone's local mean time) and the last one for all time after.
+YEARS = (1840, 2100)
 
 _BLANKS = "[\\s\\u00A0\\u1680\\u2000-\\u200B\\u202F\\u205F\\u3000\\uFEFF]+"
 _NOTES = "(?:\\s*(?:[*#^~†‡§,;.]|\\([0-9a-z]{1,2}\\)|\\[[0-9a-z]{1,2}\\]))+$"
@@ -72,7 +74,7 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
 
 
 def offset_intervals(zones: Sequence[str]) -> pd.DataFrame:
-    """Local-time segments of each zone, cut at year ends: zone, year, lo, hi (local seconds), offset, twice.
+    """Local-time segments of each zone, cut at year ends: zone, year, lo, hi (local seconds; null: open), offset, twice.
 
     Built from the UTC offset intervals; where two of them cover one local time, ``twice`` is set and
     ``offset`` is that of the earlier instant. Local times in a gap lie in no segment.
@@ -113,8 +115,8 @@ def offset_intervals(zones: Sequence[str]) -> pd.DataFrame:
             y0, y1 = ((epoch + timedelta(seconds=s)).year for s in (lo, hi - 1))
             for y in range(max(YEARS[0], y0), min(YEARS[1], y1) + 1):
                 s, e = (int((datetime(v, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) for v in (y, y + 1))
-                rows.append((zone, y, max(lo, s) if y > YEARS[0] else lo, min(hi, e), max(over), len(over) > 1))
-    return pd.DataFrame(rows, columns=["zone", "year", "lo", "hi", "offset", "twice"])
+                rows.append((zone, y, None if lo == marks[0] and y == YEARS[0] else max(lo, s), None if hi == marks[-1] and y == YEARS[1] else min(hi, e), max(over), len(over) > 1))
+    return pd.DataFrame(rows, columns=["zone", "year", "lo", "hi", "offset", "twice"]).astype({"lo": "Int64", "hi": "Int64"})
 
 
 def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +211,7 @@ def normalise_moments(events: DataFrame, filings: DataFrame, fields: Sequence[st
     parsed = parsed.withColumn("__local", local).withColumn("__year", F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year("day"))))
     # Bounded: at most some 600 zones of the time zone database with a few segments a year.
     z = F.broadcast(intervals.select(F.col("zone").alias("__zone"), F.col("year").alias("__y"), "lo", "hi", "offset", "twice"))
-    on = F.col("shift").isNull() & (F.col("zone") == F.col("__zone")) & (F.col("__year") == F.col("__y")) & (F.col("__local") >= F.col("lo")) & (F.col("__local") < F.col("hi"))
+    on = F.col("shift").isNull() & (F.col("zone") == F.col("__zone")) & (F.col("__year") == F.col("__y")) & (F.col("lo").isNull() | (F.col("__local") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("__local") < F.col("hi")))
     joined = parsed.join(z, on, "left")
     utc = F.coalesce(F.col("epoch"), F.col("__local") - F.coalesce(F.col("shift"), F.col("offset")))
     form = F.when(F.col("epoch").isNotNull() | F.col("has_clock"), instant_text(utc)).otherwise(F.col("day").cast("string"))

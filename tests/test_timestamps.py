@@ -36,6 +36,13 @@ def test_days_instants_and_unreadable(spark):
     assert run(spark, cells) == [*DAYS.values(), *INSTANTS.values(), *[None] * len(NONE)]
 
 
+def test_years_before_and_after_the_listed_ones(spark):
+    cells = ["1899-12-31 10:00", "2150-03-01 10:00", "1700-01-01 10:00", "1899-12-31", "2150-03-01 10:00 +01:00"]
+    assert run(spark, cells, tz="Asia/Tokyo")[:2] == ["1899-12-31T01:00:00Z", "2150-03-01T01:00:00Z"]
+    got = run(spark, cells, tz="Asia/Kolkata")
+    assert all(got) and got[1] == "2150-03-01T04:30:00Z" and got[3] == "1899-12-31" and got[4] == "2150-03-01T09:00:00Z"
+
+
 def test_order_of_filing(spark):
     assert run(spark, ["03/04/2010", "12-14-2006", "2010-03-04"], order="MDY") == ["2010-03-04", "2006-12-14", "2010-03-04"]
     assert run(spark, ["12-14-2006"], order="DMY") == [None]
