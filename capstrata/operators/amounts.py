@@ -9,19 +9,20 @@ a change of unit that can be reversed. The levels alone cannot give exact paise
 amounts also jump, so the results of record come from the statements (see README for measured figures).
 
 Defined results: null, blank, dash, "Nil", "N/A" and other cells without a number state no amount and give
-no row. Negative or bracketed numbers keep their digits. Amounts are rounded half-up to whole paise. Empty
+no row; nor do dotted dates ("1.5.2020") and exponents ("1e6"). Negative or bracketed numbers keep their digits. Amounts are rounded half-up to whole paise. Empty
 input gives an empty result; only the named columns are read, so extra or clashing columns do no harm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .timestamps import ascii_digits
 
 FIELDS = ("old_capital", "new_capital", "issue_price", "total_outflow")
@@ -44,8 +45,10 @@ NUMBER_WORDS = {
     "thousand": 1000, "lakh": 100000, "lakhs": 100000, "lac": 100000, "lacs": 100000, "million": 1000000, "crore": 10000000, "crores": 10000000,
     "billion": 1000000000,
 }
-#: log10 of the factors that a level shift may mark: rupees, hundreds (paise), thousands, lakhs, millions, crores.
-LEVELS = (0.0, 3.0, 5.0, 6.0, 7.0)
+#: log10 of the factors that a level shift may mark: rupees, paise, thousands, lakhs, millions, crores, billions.
+LEVELS = (0.0, -2.0, 3.0, 5.0, 6.0, 7.0, 9.0)
+#: Padded values handled at once, which bounds the memory of a Python worker.
+PADDED = 1 << 18
 
 
 def _dec(c: Column) -> Column:
@@ -121,7 +124,8 @@ def read_cell(cell: Column) -> tuple[Column, Column, Column, Column]:
     text = F.lower(F.trim(F.regexp_replace(ascii_digits(cell), "[\\s\\u00A0\\u2000-\\u200B\\u202F\\u3000\\uFEFF]+", " ")))
     plain = F.regexp_replace(text, "(?<=[0-9]) (?=[0-9]{2,3}(?![0-9]))|(?<=[0-9])['’,](?=[0-9])", "")
     number = F.regexp_extract(plain, "([0-9]+(?:\\.[0-9]+)?|(?<![a-z0-9])\\.[0-9]+)", 1)
-    value = _dec(F.when(number != "", number))
+    odd = plain.rlike("[0-9]\\.[0-9]+\\.[0-9]|[0-9]e[+-]?[0-9]")
+    value = _dec(F.when((number != "") & ~odd, number))
     after = unit_factor(plain, "[0-9]\\)?\\s*(?:/-\\s*)?(crores?|crs?|lakhs?|lacs?|lkhs?|billions?|bns?|millions?|mns?|mio|thousands?|ths?|k|m|rupees?)(?![a-z])")
     is_paise = plain.rlike("[0-9]\\s*(?:p|paise|paisa)(?![a-z])|\\b(?:paise|paisa)\\s*[0-9]")
     own = F.when(is_paise, F.lit(1).cast("bigint")).otherwise(after * 100)
@@ -166,85 +170,139 @@ def amounts_in_paise(events: DataFrame, filings: DataFrame, fields: Sequence[str
 # ---- Changepoints -----------------------------------------------------------------------------------
 
 
-def _costs(x: np.ndarray) -> np.ndarray:
-    """Cost of each value at each known level; unusable values cost nothing anywhere."""
-    return np.nan_to_num(np.abs(x[:, None] + np.asarray(LEVELS)[None, :]), nan=0.0)
-
-
-def block_transfer(x: np.ndarray, penalty: float) -> np.ndarray:
-    """[entry level, exit level] -> least cost of a block; these matrices compose by (min, +)."""
-    k = len(LEVELS)
-    move = penalty * (1 - np.eye(k))
-    out = np.where(np.eye(k, dtype=bool), 0.0, np.inf)
-    for c in _costs(x):
-        out = (out[:, :, None] + move[None]).min(axis=1) + c[None]
-    return out
-
-
-def block_path(x: np.ndarray, penalty: float, entry: int, end: int) -> np.ndarray:
-    """Levels of the cheapest path through one block; entry -1 means the history starts here."""
-    k, costs = len(LEVELS), _costs(x)
-    move = penalty * (1 - np.eye(k))
-    back = np.zeros((len(costs), k), dtype=np.int8)
-    v = costs[0] + (move[entry] if entry >= 0 else 0.0)
-    for t in range(1, len(costs)):
-        step = v[:, None] + move
-        back[t] = step.argmin(axis=0)
-        v = step.min(axis=0) + costs[t]
-    path = np.empty(len(costs), dtype=np.int64)
-    path[-1] = end
-    for t in range(len(costs) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+def _batches(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers in groups of like length, each of at most PADDED padded values (or one row)."""
+    order = np.argsort(lengths, kind="stable")[::-1]
+    i = 0
+    while i < len(order):
+        n = max(1, PADDED // max(1, int(lengths[order[i]])))
+        yield order[i : i + n]
+        i += n
+
+
+def _padded(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """[row, step, level]: cost of each value at each level; unusable values cost nothing anywhere."""
+    t = np.arange(max(1, int(lengths.max())))
+    inside = t[None] < lengths[:, None]
+    x = np.where(inside, values[np.where(inside, starts[:, None] + t[None], 0)], np.nan)
+    return np.nan_to_num(np.abs(x[:, :, None] + np.asarray(LEVELS)), nan=0.0)
+
+
+def transfers(costs: np.ndarray, penalty: float, lengths: np.ndarray) -> np.ndarray:
+    """[row, entry level, exit level] -> least cost of each row; these matrices compose by (min, +)."""
+    k = costs.shape[2]
+    m = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, np.inf), (len(costs), k, k))
+    for t in range(costs.shape[1]):
+        step = np.minimum(m, m.min(axis=2, keepdims=True) + penalty) + costs[:, t, None, :]
+        # Past its end a row keeps what it has.
+        m = np.where((t < lengths)[:, None, None], step, m)
+    return m
+
+
+def stitched(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry level, exit level) of each block on the cheapest path through [block, entry, exit] matrices; the first
+    entry is -1."""
+    v, backs = m[0].min(axis=0), []
+    for x in m[1:]:
+        step = v[:, None] + x
+        backs.append(step.argmin(axis=0))
+        v = step.min(axis=0)
+    ends = [int(np.argmin(v))]
+    for b in reversed(backs):
+        ends.append(int(b[ends[-1]]))
+    ends.reverse()
+    return np.array([-1, *ends[:-1]]), np.array(ends)
+
+
+def paths(costs: np.ndarray, penalty: float, entry: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """[row, step] -> level number on the cheapest path of each row from its entry (-1: a start) to its end."""
+    rows, steps, k = costs.shape
+    back = np.empty((steps, rows, k), dtype=np.int8)
+    v = costs[:, 0] + np.where((entry[:, None] < 0) | (entry[:, None] == np.arange(k)), 0.0, penalty)
+    for t in range(1, steps):
+        best = v.min(axis=1) + penalty
+        stays = v <= best[:, None]
+        back[t] = np.where(stays, np.arange(k), v.argmin(axis=1)[:, None])
+        step = np.where(stays, v, best[:, None]) + costs[:, t]
+        v = np.where((t < lengths)[:, None], step, v)
+    path = np.empty((rows, steps), dtype=np.int64)
+    at = end.astype(np.int64)
+    for t in range(steps - 1, -1, -1):
+        path[:, t] = at
+        if t:
+            at = np.where(t < lengths, back[t, np.arange(rows), at], at)
     return path
 
 
-def unit_levels(cells: DataFrame, source: Sequence[str], order: str, log_value: str, penalty: float = 2.0, block: int = 65536) -> DataFrame:
+def unit_levels(cells: DataFrame, source: str, order: str, log_value: str, penalty: float = 2.0, block: int = 32768) -> DataFrame:
     """Exact penalised segmentation of each source's history on the known unit levels.
 
-    ``log_value`` is log10 of the written number minus that of the source's usual amount in rupees, so a
-    history kept in lakhs lies near -5. ``order`` is a unique non-negative integer in order of arrival. A
-    history is cut into blocks of ``block`` consecutive orders, so no task holds more rows of one source;
-    blocks are summed up as (min, +) transfer matrices, joined per source, and then traced back block by
-    block, which gives the same optimum as one pass. Adds ``level`` (log10 of the factor to multiply by)
-    and ``segment_start`` (a change of level begins at this row). Rows with a null ``log_value`` stay in
-    place and follow their segment.
+    ``log_value`` is log10 of the written number minus that of the source's usual one, so a history kept in lakhs lies
+    near -5. ``order`` is a unique non-negative integer in order of arrival. A history is cut into blocks of ``block``
+    consecutive orders, so no task holds more rows of one source at once; blocks are summed up as (min, +) transfer
+    matrices, stitched per source, and then traced back block by block, which gives the same optimum as one pass. All
+    three steps run on many blocks at a time. Gives source, order, ``level`` (log10 of the factor to multiply by) and
+    ``segment_start`` (a change of level begins at this row). Rows with a null ``log_value`` follow their segment; a null
+    source is a source of its own.
     """
-    keys = list(source)
-    work = cells.withColumn("__block", F.floor(F.col(order) / block))
-    slim = work.select(*keys, "__block", order, log_value)
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keys).schema)
-
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        m = block_transfer(pdf[log_value].to_numpy(dtype=float, na_value=np.nan), penalty)
-        return pd.DataFrame([[*pdf[[*keys, "__block"]].iloc[0], m.ravel().tolist()]], columns=[*keys, "__block", "m"])
-
-    def join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block")
+    named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("s")
+    item = F.struct(F.col(order).cast("bigint").alias("o"), F.col(log_value).cast("double").alias("x"))
+    blocks = cells.select(named, F.floor(F.col(order) / block).alias("b"), item.alias("i")).groupBy("s", "b").agg(F.array_sort(F.collect_list("i")).alias("i"))
+    blocks = cut_lineage(blocks.select("s", "b", F.transform("i", lambda i: i["o"]).alias("o"), F.transform("i", lambda i: i["x"]).alias("x")))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((len(b), len(LEVELS), len(LEVELS)))
+            values, starts, lengths = _lists(b.column("x"))
+            for at in _batches(lengths):
+                out[at] = transfers(_padded(values, starts[at], lengths[at]), penalty, lengths[at])
+            yield pa.RecordBatch.from_arrays([b.column("s"), b.column("b"), _list_array(out.ravel(), len(b))], names=["s", "b", "m"])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(LEVELS)
-        mats = [np.asarray(m).reshape(k, k) for m in pdf["m"]]
-        v, backs = None, []
-        for m in mats:
-            if v is None:
-                v, b = m.min(axis=0), np.full(k, -1)
-            else:
-                step = v[:, None] + m
-                v, b = step.min(axis=0), step.argmin(axis=0)
-            backs.append(b)
-        ends = [int(np.argmin(v))]
-        for b in reversed(backs[1:]):
-            ends.append(int(b[ends[-1]]))
-        ends.reverse()
-        return pd.DataFrame({**{c: pdf[c] for c in keys}, "__block": pdf["__block"], "entry": [-1, *ends[:-1]], "end": ends})
-
-    def trace(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(order)
-        entry, end = int(right["entry"].iloc[0]), int(right["end"].iloc[0])
-        path = block_path(left[log_value].to_numpy(dtype=float, na_value=np.nan), penalty, entry, end)
-        before = np.concatenate([[entry], path[:-1]])
-        return pd.DataFrame({**{c: left[c] for c in keys}, order: left[order], "level": np.asarray(LEVELS)[path], "segment_start": before != path})
-
-    mats = slim.groupBy(*keys, "__block").applyInPandas(transfer, f"{key_types}, __block bigint, m array<double>")
-    ends = mats.groupBy(*keys).applyInPandas(join_blocks, f"{key_types}, __block bigint, entry int, end int")
-    traced = slim.groupBy(*keys, "__block").cogroup(ends.groupBy(*keys, "__block")).applyInPandas(trace, f"{key_types}, `{order}` bigint, level double, segment_start boolean")
-    return traced
+        for b in batches:
+            entry, end = [], []
+            for bs in b.column("bs"):
+                m = bs.values.field("m").flatten().to_numpy().reshape(-1, k, k)
+                e, x = stitched(m)
+                entry.append(e), end.append(x)
+            cat = lambda x: pa.array(np.concatenate(x).astype(np.int32)) if x else pa.array([], pa.int32())
+            n = np.array([len(e) for e in entry], dtype=np.int64)
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            numbers = pa.chunked_array([bs.values.field("b") for bs in b.column("bs")] or [pa.array([], pa.int64())]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([b.column("s").take(of), numbers, cat(entry), cat(end)], names=["s", "b", "entry", "end"])
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, starts, lengths = _lists(b.column("x"))
+            orders, _, _ = _lists(b.column("o"))
+            entry, end = (b.column(c).to_numpy() for c in ("entry", "end"))
+            level, starts_here = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+            for at in _batches(lengths):
+                path = paths(_padded(values, starts[at], lengths[at]), penalty, entry[at], end[at], lengths[at])
+                inside = np.arange(path.shape[1])[None] < lengths[at][:, None]
+                where = (starts[at][:, None] + np.arange(path.shape[1])[None])[inside]
+                level[where] = path[inside]
+                starts_here[where] = (path != np.concatenate([entry[at][:, None], path[:, :-1]], axis=1))[inside]
+            of = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            yield pa.RecordBatch.from_arrays([b.column("s").take(of), pa.array(orders), pa.array(np.asarray(LEVELS)[level]), pa.array(starts_here)], names=["s", order, "level", "segment_start"])
+
+    sums = blocks.select("s", "b", "x").mapInArrow(sum_up, "s string, b bigint, m array<double>")
+    # A row per source: of one small matrix for each ``block`` orders.
+    per = sums.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("bs"))
+    ends = per.mapInArrow(stitch, "s string, b bigint, entry int, end int")
+    traced = blocks.join(ends, ["s", "b"]).mapInArrow(trace, f"s string, `{order}` bigint, level double, segment_start boolean")
+    kind = cells.schema[source].dataType
+    return traced.select(F.when(F.col("s") != "", F.substring("s", 2, 1 << 30)).cast(kind).alias(source), order, "level", "segment_start")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, starts, lengths) of an array of lists; null values are NaN."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return values, offsets[:-1] - offsets[0], np.diff(offsets)
+
+
+def _list_array(values: np.ndarray, rows: int) -> pa.ListArray:
+    size = len(values) // rows if rows else 0
+    return pa.ListArray.from_arrays(pa.array((np.arange(rows + 1) * size).astype(np.int32)), pa.array(values))

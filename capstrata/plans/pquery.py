@@ -15,19 +15,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unit_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """Per issuer and field: cells without a unit of their own, segments found, and cells whose segment agrees
-    with the unit stated elsewhere."""
+    """What levels find by themselves, per field and by what states the unit: cells, segments, cells whose unit by level is
+    the stated one, cells in another unit than rupees, those that levels put there, and those they put there rightly.
+
+    Every cell of the four fields with a positive number takes part. A history is an issuer's cells of a field in order of
+    arrival; its baseline is the median of the numbers as written, so no statement of a unit enters the search."""
     events = table(spark, d, "sample_events")
-    totals = [f for f in amounts.FIELDS if f not in amounts.PER_SHARE]
-    cells = amounts.amounts_in_paise(events, table(spark, d, "filings"), totals).where("unit_from <> 'cell' and written > 0 and paise > 0")
-    cells = cells.join(events.select("event_id", "issuer_id"), "event_id").where("issuer_id is not null and event_id >= 0")
-    rupees = F.log10(F.col("paise") / 100)
-    cells = cut_lineage(cells.select("issuer_id", "field_name", "event_id", "written", rupees.alias("stated"), F.log10("written").alias("log")))
-    usual = cells.groupBy("issuer_id", "field_name").agg(F.percentile_approx("stated", 0.5, 1000).alias("usual"))
-    cells = cells.join(usual, ["issuer_id", "field_name"]).withColumn("offset", F.col("log") - F.col("usual"))
-    levels = amounts.unit_levels(cells, ["issuer_id", "field_name"], "event_id", "offset")
-    out = levels.join(cells.select("issuer_id", "field_name", "event_id", F.round(F.col("stated") - F.col("log"), 3).alias("true_level")), ["issuer_id", "field_name", "event_id"])
-    return out.groupBy("issuer_id", "field_name").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if("segment_start").alias("n_segments"), F.count_if(F.abs(F.col("level") - F.col("true_level")) < 0.5).alias("n_agree"))
+    cells = amounts.amounts_in_paise(events, table(spark, d, "filings")).where("written > 0 and paise > 0")
+    cells = cells.join(events.select("event_id", "issuer_id"), "event_id").withColumn("history", F.concat_ws(" ", "field_name", F.col("issuer_id").cast("string")))
+    slot = F.col("event_id") * len(amounts.FIELDS) + F.array_position(F.array(*[F.lit(f) for f in amounts.FIELDS]), F.col("field_name")) - 1
+    cells = cut_lineage(cells.select("history", "field_name", "unit_from", slot.alias("slot"), F.log10("written").alias("log"), F.log10(F.col("paise") / 100).alias("stated")))
+    usual = cells.groupBy("history").agg(F.percentile_approx("log", 0.5, 1000).alias("usual"))
+    offsets = cells.join(usual, "history").withColumn("offset", F.col("log") - F.col("usual"))
+    levels = amounts.unit_levels(offsets, "history", "slot", "offset").select("slot", "level", "segment_start")
+    j = levels.join(cells, "slot").withColumn("agrees", F.abs(F.col("level") - (F.col("stated") - F.col("log"))) < 0.5)
+    scaled = F.abs(F.col("stated") - F.col("log")) >= 0.5
+    return j.groupBy("field_name", "unit_from").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if("segment_start").alias("n_segments"), F.count_if("agrees").alias("n_agree"),
+        F.count_if(scaled).alias("n_scaled"), F.count_if(F.col("level") != 0).alias("n_claimed"), F.count_if(scaled & F.col("agrees")).alias("n_right"),
+    )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

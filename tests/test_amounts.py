@@ -43,7 +43,7 @@ def test_order_of_statements(spark):
     assert run(spark, ["₹ 5"])[0] == (500, False)
 
 
-@pytest.mark.parametrize("cell", [None, "", " ", "-", "—", "Nil", "NA", "not applicable", "to be announced"])
+@pytest.mark.parametrize("cell", [None, "", " ", "-", "—", "Nil", "NA", "not applicable", "to be announced", "1.5.2020", "1e6"])
 def test_no_amount(spark, cell):
     assert run(spark, [cell]) == [None]
 
@@ -69,7 +69,7 @@ def test_changepoints_match_brute_force_and_blocks_do_not_matter(spark):
         x = [float(v) for v in rng.choice([0, -3, -5, -7], 6) + rng.normal(0, 0.4, 6)]
         df = spark.createDataFrame([("s", i, v) for i, v in enumerate(x)], "src string, k bigint, lv double")
         for block in (2, 3, 100):
-            got = [int(A.LEVELS.index(r.level)) for r in A.unit_levels(df, ["src"], "k", "lv", 1.0, block).orderBy("k").collect()]
+            got = [int(A.LEVELS.index(r.level)) for r in A.unit_levels(df, "src", "k", "lv", 1.0, block).orderBy("k").collect()]
             cost = sum(abs(v + A.LEVELS[p]) for v, p in zip(x, got)) + 1.0 * sum(a != b for a, b in zip(got, got[1:]))
             assert cost == pytest.approx(brute(x, 1.0))
 
@@ -77,7 +77,26 @@ def test_changepoints_match_brute_force_and_blocks_do_not_matter(spark):
 def test_changepoints_find_a_unit_change(spark):
     x = [0.1, -0.2, 0.0, 0.1] * 3 + [-5.1, None, -4.9, -5.0] * 3 + [0.0] * 5
     df = spark.createDataFrame([("s", i, v, 1) for i, v in enumerate(x)], "src string, k bigint, lv double, level int")
-    out = A.unit_levels(df, ["src"], "k", "lv", 2.0, 7).orderBy("k").collect()
+    out = A.unit_levels(df, "src", "k", "lv", 2.0, 7).orderBy("k").collect()
     assert [r.level for r in out] == [0.0] * 12 + [5.0] * 12 + [0.0] * 5
     assert [i for i, r in enumerate(out) if r.segment_start] == [0, 12, 24]
-    assert A.unit_levels(df.where("k < 0"), ["src"], "k", "lv").count() == 0
+    assert A.unit_levels(df.where("k < 0"), "src", "k", "lv").count() == 0
+
+
+def test_many_histories_at_once_match_one_by_one(spark):
+    """Histories of unlike lengths share padded arrays; a null source is a source of its own."""
+    rng = np.random.default_rng(5)
+    rows, k = [], 0
+    for s in [None, *range(12)]:
+        for _ in range(int(rng.integers(1, 60))):
+            rows.append((s, k, float(rng.choice([0, -5]) + rng.normal(0, 1))))
+            k += int(rng.integers(1, 3))
+    df = spark.createDataFrame(rows, "src bigint, k bigint, lv double")
+    one = {r.k: r.level for s in range(12) for r in A.unit_levels(df.where(f"src = {s}"), "src", "k", "lv", 1.5, 1000).collect()}
+    for block in (5, 1000):
+        got = A.unit_levels(df, "src", "k", "lv", 1.5, block).collect()
+        assert len(got) == len(rows) and {r.k for r in got if r.src is None} == {x[1] for x in rows if x[0] is None}
+        for s in range(12):
+            mine = [x for x in rows if x[0] == s]
+            cost = lambda level: sum(abs(x[2] + level[x[1]]) for x in mine) + 1.5 * sum(level[a[1]] != level[b[1]] for a, b in zip(mine, mine[1:]))
+            assert cost({r.k: r.level for r in got}) == pytest.approx(cost(one))
