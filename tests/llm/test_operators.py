@@ -165,6 +165,21 @@ def test_entries_map_to_the_term_they_mean(spark):
     assert canon.map_to_terms(ev.limit(0), terms, ["c"]).count() == 0
 
 
+def test_short_forms_follow_from_the_entries(spark):
+    names = ["promoters", "promoter group", "qualified institutional buyers", "banks and financial institutions", "high net worth individuals", "general public", "other than cash", "cash", "land and buildings", "board resolution", "ordinary resolution", "plant and machinery", "existing shareholders", "conversion of loan"]
+    terms = spark.createDataFrame([(i, "c", n) for i, n in enumerate(names, 1)], "term_id int, field_name string, term string")
+    entries = {
+        "Promoter": 1, "founding promoters": 1, "prom. group": 2, "QIBs": 3, "institutional buyers (qualified)": 3, "Banks & FIs": 4, "financial institutions and banks": 4, "HNI": 5, "public": 6, "members of the public": 6,
+        "non-cash": 7, "otherwise than in cash": 7, "paid in cash": 8, "land and bldgs": 9, "ord. resolution": 11, "resolution of the board": 10, "P and M": 12, "existing s/holders": 13, "loan converted": 14, "conv. of loan": 14,
+        "resolution": 0, "as per list 5": 0, "lottery winners": 0,
+    }
+    keys = list(entries)
+    ev = spark.createDataFrame([(i, k) for i, k in enumerate(keys)] + [(100 + i, "founding promoters") for i in range(5)] + [(200, "foundign promotesr")], "event_id bigint, c string")
+    got = {r.event_id: r.term_id for r in canon.map_to_terms(ev, terms, ["c"]).collect()}
+    assert {keys[i]: t for i, t in got.items() if i < 100 and t != entries[keys[i]]} == {}
+    assert got[200] == 1
+
+
 def test_pigeonhole_join_loses_nothing(spark):
     rng = random.Random(7)
     refs = ["conversion of loan", "share swap", "land and buildings", "scheme of amalgamation", "holding company"]
@@ -185,9 +200,9 @@ def test_pigeonhole_join_loses_nothing(spark):
     vals = spark.createDataFrame([("c", v) for v in sorted(values)], "field_name string, value string")
     terms = spark.createDataFrame([(i, "c", r) for i, r in enumerate(refs)], "term_id int, field_name string, term string")
     ref = canon.references(terms)
-    got = {(r.value, r.term_id, r.distance) for r in canon.near_matches(vals, ref).collect()}
-    pairs = vals.crossJoin(F.broadcast(ref.drop("field_name"))).where("k > 0").withColumn("distance", canon.close(F.col("value"), F.col("ref"))).where("distance is not null")
-    assert got == {(r.value, r.term_id, r.distance) for r in pairs.collect()} and len(got) > 100
+    got = {(r.value, r.ref, r.distance) for r in canon.near_matches(vals, ref).collect()}
+    pairs = vals.crossJoin(F.broadcast(ref.drop("field_name"))).withColumn("distance", canon.close(F.col("value"), F.col("ref"))).where("distance is not null")
+    assert got == {(r.value, r.ref, r.distance) for r in pairs.collect()} and len(got) > 100
 
 
 # ---- packing
@@ -199,9 +214,9 @@ def test_two_swaps_in_a_short_reference_are_found(spark):
     vals = spark.createDataFrame([("c", "pormoetrs"), ("c", "upblci"), ("c", "opmroters")], "field_name string, value string")
     ref = canon.references(terms)
     pairs = vals.crossJoin(F.broadcast(ref.drop("field_name"))).withColumn("distance", canon.close(F.col("value"), F.col("ref"))).where("distance is not null")
-    want = {(r.value, r.term_id, r.distance) for r in pairs.collect()}
-    assert {("pormoetrs", 7, 2), ("upblci", 8, 2)} <= want
-    assert {(r.value, r.term_id, r.distance) for r in canon.near_matches(vals, ref).collect()} == want
+    want = {(r.value, r.ref, r.distance) for r in pairs.collect()}
+    assert {("pormoetrs", "promoters", 2), ("upblci", "public", 2)} <= want
+    assert {(r.value, r.ref, r.distance) for r in canon.near_matches(vals, ref).collect()} == want
 
 
 def test_best_fill_is_optimal():
@@ -248,7 +263,7 @@ def test_whole_texts_are_counted(spark):
 # ---- leakage
 
 
-def test_leaks_match_brute_force_on_both_paths(spark):
+def test_leaks_match_brute_force(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(30)] + ["Ltd", "ü", "no5"]
     items = [" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 60))) for _ in range(25)]
@@ -267,15 +282,21 @@ def test_leaks_match_brute_force_on_both_paths(spark):
     want = {(d, i) for d, t in enumerate(texts) for i, g in enumerate(own) if g & grams(split(t))}
     docs = spark.createDataFrame([(d, t, 1) for d, t in enumerate(texts)], "doc_id bigint, text string, item_id int").repartition(3)
     ev = spark.createDataFrame([(i, "s", t) for i, t in enumerate(items)], "item_id bigint, suite string, item_text string")
-    for limit in (leakage.MAX_RESIDENT, 0):
-        assert {tuple(r) for r in leakage.leaks(docs, ev, max_resident=limit).collect()} == want
-        assert leakage.leaks(docs.limit(0), ev, max_resident=limit).count() == 0
-        assert leakage.leaks(docs, ev.limit(0), max_resident=limit).count() == 0
+    assert {tuple(r) for r in leakage.leaks(docs, ev).collect()} == want
+    assert leakage.leaks(docs.limit(0), ev).count() == 0
+    assert leakage.leaks(docs, ev.limit(0)).count() == 0
     assert {tuple(r) for r in leakage.leaks(docs.withColumn("doc_id", F.col("doc_id").cast("int")), ev).collect()} == want
     assert len(want) > 20
     assert sum(r.n_documents for r in leakage.leak_report(leakage.leaks(docs, ev), ev).collect()) == len(want)
 
 
+def test_one_id_for_two_texts_leaks_what_either_holds(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "x " * 40), (1, "y " * 7 + item), (2, item), (2, "short")], "doc_id bigint, text string")
+    ev = spark.createDataFrame([(5, "s", item), (5, "s", "other " * 3), (6, "s", None)], "item_id bigint, suite string, item_text string")
+    assert sorted(tuple(r) for r in leakage.leaks(docs, ev).collect()) == [(1, 5), (2, 5)]
+
+
 # ---- subjects
 
 
