@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import CAPITAL_SIGNALS, mentions
 from .operators import quality, report, retrieval, verify
-from .operators.extract import extract_events
-from .session import cut_lineage
+from .operators.dedup import merge_extractions
+from .operators.extract import table_events
+from .operators.layout import page_table_rows
+from .session import cut_lineage, new_job
 from .sources import markdown
-from .sources.plugins import admissible
+from .sources.plugins import admissible, model_event_rows, page_layouts
 
 
 class Engine:
@@ -46,11 +49,11 @@ class Engine:
     def events(self, event_type: str | None = None, limit: int = 100) -> DataFrame:
         return quality.listed(self._live(), limit, "pos", event_type)
 
-    def search(self, query: str, k: int = retrieval.TOP, weight: float | None = None) -> DataFrame:
+    def search(self, query: str, k: int = retrieval.TOP, weight: float | None = None, vectors_only: bool = False) -> DataFrame:
         if not query or not query.strip():
             raise ValueError("the query is blank")
         q = self.spark.createDataFrame([(1, query)], "query_id int, query string")
-        hits = retrieval.search(self._live(), q, k, "event_id", "text", embed=self.embed, weight=weight, sparse_text="sparse_text")
+        hits = retrieval.vector_search(self._live(), q, k, "event_id", "text", embed=self.embed) if vectors_only else retrieval.search(self._live(), q, k, "event_id", "text", embed=self.embed, weight=weight, sparse_text="sparse_text")
         return hits.join(self._live().drop("sparse_text"), "event_id").drop("query_id").orderBy("rank")
 
     def ask(self, question: str, mode: str = "extractive", model: Callable[[str, list], str] | None = None) -> dict:
@@ -59,9 +62,9 @@ class Engine:
             raise ValueError("mode is extractive or llm")
         hits = self.search(question).withColumn("query_id", F.lit(1))
         kept = retrieval.graded(hits).orderBy("rank").collect()  # at most k rows
-        answer = "No matching capital events were found in this filing."
+        answer = retrieval.NO_MATCH
         if kept:
-            answer = "\n".join(["Relevant capital events:", *[f"  - {h['text']} (match {h['score']})" for h in kept]])
+            answer = "\n".join([retrieval.MATCHES, *[f"  - {h['text']} (match {h['score']})" for h in kept]])
             if mode == "llm" and model:
                 try:
                     answer = model(question, [h.asDict() for h in kept])
@@ -76,14 +79,30 @@ class Engine:
     def report(self, title: str = "Capital history", scope: str = "filing_id") -> DataFrame:
         return report.brief(self._live(), verify.verify(self._live(), (scope,)), scope, title)
 
-    def ingest(self, path: str, job: str) -> DataFrame:
-        """Extracts the Markdown files under a path; files that are not admitted are listed with their status."""
+    def ingest(self, path: str, job: str | None = None, layout: Callable[[bytes], list[dict]] | None = None, model: Callable[[str], str] | None = None) -> DataFrame:
+        """Extracts the files under a path and returns the job's record: job, method, n_events, n_pages.
+
+        Markdown is parsed; PDF pages come from ``layout`` (see plugins.page_layouts), without which they give nothing.
+        Pages with capital signals go to ``model``, if any; its events yield to those of tables. A file that is not
+        admitted is an error that names its status.
+        """
+        job = job or new_job()
         files = admissible(self.spark.read.format("binaryFile").load(path))
-        refused = files.where("status <> 200").select("path", "status").collect()
+        refused = files.where("status <> 200").select("path", "status").limit(10).collect()
         if refused:
-            raise ValueError(f"not admitted: {[(r.path, r.status) for r in refused[:10]]}")
-        self.jobs[job] = cut_lineage(extract_events(markdown.read_markdown(self.spark, path)))
-        return self.jobs[job].groupBy(F.col("source_provenance.extraction_method").alias("method")).agg(F.count(F.lit(1)).alias("n"))
+            raise ValueError(f"not admitted: {[(r.path, r.status) for r in refused]}")
+        docs = markdown.read_markdown(self.spark, path)
+        tables = table_events(markdown.parse_tables(docs))
+        pages = markdown.split_pages(docs)
+        if layout:
+            pdf = files.where(F.lower("path").endswith(".pdf")).withColumnRenamed("path", "filing_id")
+            chars, grids, texts = page_layouts(pdf, layout)
+            tables = tables.unionByName(table_events(page_table_rows(chars, grids, texts)))
+            pages = pages.unionByName(texts.select("filing_id", F.col("page_num").alias("page_number"), "text"))
+        told = model_event_rows(pages, model, mentions(F.col("text"), CAPITAL_SIGNALS))
+        self.jobs[job] = cut_lineage(merge_extractions(tables, told, scope=["filing_id"]))
+        n = self.jobs[job].groupBy(F.coalesce("source_provenance.extraction_method", F.lit("table")).alias("method")).agg(F.count(F.lit(1)).alias("n_events"))
+        return n.join(F.broadcast(pages.agg(F.count(F.lit(1)).alias("n_pages")))).select(F.lit(job).alias("job"), "method", "n_events", "n_pages")  # one row of pages
 
     def ingest_index(self, job: str) -> int:
         """Makes a finished ingest the corpus."""

@@ -76,3 +76,15 @@ def rendered(c: Column, kind: str) -> Column:
 def truthy(c: Column, kind: str) -> Column:
     """Python's truth of a value: not null, not empty, not zero."""
     return c.isNotNull() & ((c != "") if kind == "string" else (c != 0))
+
+
+def general(c: Column) -> Column:
+    """A number with at most six significant digits and no trailing zeros, as "%g" prints it between 1e-4 and 1e6."""
+    digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(c)))).cast("int")
+    rounded = F.regexp_replace(F.call_function("format_number", F.round(F.abs(c) * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits), F.lit("0.##########")), ",", "")
+    return F.when(c == 0, "0").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), rounded))
+
+
+def percent(c: Column) -> Column:
+    """A share as a whole percentage ("7%")."""
+    return F.concat(F.format_string("%.0f", c * 100), F.lit("%"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what makes two extractions the same event.
 KEY = ("event_type", "date", "shares", "ratio", "new_capital")
+#: Fixed value: the same for events of the record schema, which tell offers apart as well.
+RECORD_KEY = (*KEY, "shares_offered")
 
 
 def merge_extractions(preferred: DataFrame, other: DataFrame, key: Sequence[str] = KEY, order: str = "pos", scope: Sequence[str] = ()) -> DataFrame:
@@ -42,8 +44,3 @@ def drop_repeats(df: DataFrame, order: str = "pos") -> DataFrame:
     """First of the rows equal in content, ``order`` aside."""
     hashed = df.withColumn("__hash", content_hash(df, [order]))
     return keep_first(hashed, ["__hash"], order).drop("__hash")
-
-
-def latest(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*[F.col(o).desc() for o in order])
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,45 +20,6 @@ EVENT_FIELDS = {
 }
 
 
-@functools.lru_cache(maxsize=4096)
-def columns_of(headers: tuple[str, ...]) -> dict[str, int | None]:
-    """Place of each wanted column in a table's headers: the first header that holds any of its needles, punctuation
-    aside. Share counts come neither from the allotment date's column nor from cumulative ones."""
-    flat = [re.sub("[^a-z0-9]", "", x.lower()) for x in headers]
-
-    def first(name: str, barred: set[int] = frozenset()) -> int | None:
-        wanted = [re.sub("[^a-z0-9]", "", n) for n in NEEDLES[name]]
-        return next((i for i, x in enumerate(flat) if i not in barred and any(n in x for n in wanted)), None)
-
-    at = {name: first(name) for name in NEEDLES}
-    at["shares"] = first("shares", {i for i, x in enumerate(headers) if i == at["allot_date"] or "cumulative" in x})
-    return at
-
-
-def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells by the column they belong to. Under equal headers the last cell present in the row counts."""
-    for b in batches:
-        out = {f"c_{n}": [] for n in NEEDLES} | {"has": [], "share_header": [], "header_text": [], "row_text": []}
-        for headers, cells in zip(b["headers"], b["cells"]):
-            headers, row = tuple(headers), dict(zip(headers, cells))
-            at = columns_of(headers)
-            for n, i in at.items():
-                out[f"c_{n}"].append(None if i is None else row.get(headers[i]))
-            out["has"].append([n for n, i in at.items() if i is not None])
-            out["share_header"].append(headers[at["shares"]] if at["shares"] is not None else "")
-            out["header_text"].append(" ".join(headers))
-            out["row_text"].append(" | ".join(v for v in row.values() if v))
-        yield pd.concat([b.drop(columns=["headers", "cells"]).reset_index(drop=True), pd.DataFrame(out)], axis=1)
-
-
-def resolve_cells(rows: DataFrame, key: str = "filing_id") -> DataFrame:
-    """Rows of TABLE_ROWS with the cell of every wanted column. Headers are resolved once per table, in the Python
-    stage next to the parser, which also keeps later filters from being unfolded into nested array expressions."""
-    kept = [f for f in rows.schema if f.name not in ("headers", "cells")]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"c_{n} string" for n in NEEDLES], "has array<string>, share_header string, header_text string, row_text string"])
-    return rows.select(*[f.name for f in kept], "headers", "cells").mapInPandas(_resolved, schema)
-
-
 def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -73,9 +29,14 @@ def table_events(rows: DataFrame, key: str = "filing_id") -> DataFrame:
 
     Per row the first family that succeeds wins: authorised capital, then bonus or rights, then allotment.
     """
-    df = resolve_cells(rows, key)
+    number = {n: i for i, n in enumerate(NEEDLES)}
+    place = lambda n: F.get("places", F.lit(number[n]))
+    # Through a generator, so that the filters below do not pick the cells again.
+    picked = F.inline(F.array(F.struct(*[F.get("cells", place(n)).alias(f"c_{n}") for n in NEEDLES], *[place(n).isNotNull().alias(f"h_{n}") for n in NEEDLES], F.coalesce(F.get("headers", place("shares")), F.lit("")).alias("share_header"), F.array_join("headers", " ").alias("header_text"))))
+    box = F.col("bbox") if "bbox" in rows.columns else F.lit(None).cast("array<double>")
+    df = rows.select(key, "page_num", "section", "table_no", "row_no", "raw_text", "row_text", F.when(F.size(box) > 0, box).alias("bbox"), picked)
     c = lambda n: F.col(f"c_{n}")
-    has = lambda n: F.array_contains("has", n)
+    has = lambda n: F.col(f"h_{n}")
     resolution = F.nullif(norm(c("resolution")), F.lit(""))
 
     old, new = cell_count(c("from")), cell_count(c("to"))
@@ -107,9 +68,9 @@ def table_events(rows: DataFrame, key: str = "filing_id") -> DataFrame:
     row_text = F.col("row_text")
     snippet = F.nullif(F.substring(F.when(row_text != "", row_text).otherwise(F.col("raw_text")), 1, SNIPPET), F.lit(""))
     return df.select(
-        key, (F.col("table_no").cast("bigint") * 1_000_000 + F.col("row_no")).alias("pos"), "event_type", "date", *[fields[n].cast(t).alias(n) for n, t in EVENT_FIELDS.items() if n in fields], F.col("page_num").alias("page_number"), snippet.alias("source_snippet"),
-        F.lit(CONFIDENCE).alias("confidence"),
-        F.struct(F.col("page_num").alias("page"), F.nullif("section", F.lit("")).alias("section"), F.lit("table").alias("extraction_method"), F.lit(CONFIDENCE).alias("confidence")).alias("source_provenance"),
+        key, (F.shiftleft(F.col("table_no").cast("bigint"), 32) + F.col("row_no")).alias("pos"), "event_type", "date", *[fields[n].cast(t).alias(n) for n, t in EVENT_FIELDS.items() if n in fields], F.col("page_num").alias("page_number"), snippet.alias("source_snippet"),
+        F.col("page_num").alias("page"), "bbox", F.lit(CONFIDENCE).alias("confidence"),
+        F.struct(F.col("page_num").alias("page"), F.nullif("section", F.lit("")).alias("section"), "bbox", F.lit("table").alias("extraction_method"), F.lit(CONFIDENCE).alias("confidence")).alias("source_provenance"),
     )
 
 

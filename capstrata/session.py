@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import tempfile
 import uuid
@@ -24,6 +25,31 @@ CONF = {
 _scratch: set[str] = set()
 
 
+@dataclasses.dataclass(frozen=True)
+class Settings:
+    """What a deployment sets: by environment (CAPSTRATA_<NAME>), else a file of NAME=value lines, else these."""
+
+    top_k: int = 5
+    model_pages: int = 30
+    max_upload_bytes: int = 40_000_000
+    max_pages: int = 300
+
+    @classmethod
+    def read(cls, path: str | None = None) -> Settings:
+        lines = []
+        if path and os.path.exists(path):
+            with open(path) as f:
+                lines = [x.strip().split("=", 1) for x in f if "=" in x and not x.lstrip().startswith("#")]
+        given = {k.strip().upper(): v.strip().strip("\"'") for k, v in lines} | {k: v for k, v in os.environ.items() if k.startswith("CAPSTRATA_")}
+        names = {f.name: given.get(f"CAPSTRATA_{f.name.upper()}") for f in dataclasses.fields(cls)}
+        return cls(**{k: int(v) for k, v in names.items() if v not in (None, "")})
+
+
+def new_job() -> str:
+    """A job id of twelve hexadecimal digits."""
+    return uuid.uuid4().hex[:12]
+
+
 def get_session(master: str | None = None, app: str = "capstrata", **conf: str) -> SparkSession:
     """A session with CONF applied; on a cluster the launcher's own settings for memory and cores hold."""
     builder = SparkSession.builder.appName(app)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -9,31 +10,79 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.headers import NEEDLES
 from ..functions.text import is_markdown, page_marker
 
-#: Page marks left by converters, headings, and cells of a table rule.
-_PAGE = re.compile(r"\[\s*page\s*(\d+)\s*\]|<!--\s*page\D*(\d+)\s*-->|^\s*\{(\d+)\}\s*-*\s*$|^\s*-*\s*page\s+(\d+)\s*-*\s*$", re.I)
-_HEADING = re.compile(r"^\s{0,3}#{1,6}\s+(.*\S)\s*$")
-_RULE = re.compile(r":?-+:?")
+_ASIDE = re.compile(r"\[([^][]*)\]|<!--(.*?)-->")
+_RULE = re.compile(r"[\s|]*:?-+:?(?:\s*\|[\s|]*:?-+:?)*[\s|]*")
 
-TABLE_ROWS = "page_num int, section string, table_no int, row_no int, headers array<string>, cells array<string>, raw_text string"
+TABLE_ROWS = "page_num int, section string, table_no int, row_no int, headers array<string>, cells array<string>, raw_text string, places array<int>, row_text string"
+
+
+def page_of(line: str) -> int | None:
+    """The page a line declares: "page N" in brackets or in a comment, a line that is "{N}" or "page N" but for dashes."""
+    for inside in _ASIDE.finditer(line):
+        bracket, comment = inside.groups()
+        said = (bracket if bracket is not None else comment).strip()
+        if said[:4].lower() == "page":
+            number = said[4:].strip() if bracket is not None else re.sub("^\\D*", "", said[4:])
+            if number.isdecimal():
+                return int(number)
+    bare = line.strip().rstrip("-").rstrip()
+    if bare[:1] == "{" and bare[-1:] == "}" and bare[1:-1].isdecimal():
+        return int(bare[1:-1])
+    words = bare.lstrip("-").split()
+    return int(words[1]) if len(words) == 2 and words[0].lower() == "page" and words[1].isdecimal() else None
+
+
+def heading_of(line: str) -> str | None:
+    """The title of a heading line: up to three blanks, one to six signs, a blank, and text."""
+    body = line.lstrip()
+    title = body.lstrip("#")
+    if len(line) - len(body) > 3 or not 1 <= len(body) - len(title) <= 6 or not title[:1].isspace():
+        return None
+    return title.strip() or None
 
 
 def cells_of(line: str) -> list[str]:
-    """Trimmed cells of a table line; an escaped pipe belongs to its cell."""
-    body = line.strip()
-    body = body[1:] if body.startswith("|") else body
-    body = body[:-1] if body.endswith("|") else body
-    return [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", body)]
+    """Trimmed cells of a table line; an escaped pipe belongs to its cell, an outer pipe is a border."""
+    cells: list[list[str]] = [[]]
+    for sign in line.strip():
+        if sign != "|":
+            cells[-1].append(sign)
+        elif cells[-1][-1:] == ["\\"]:
+            cells[-1][-1] = "|"
+        else:
+            cells.append([])
+    first = len(cells) > 1 and not cells[0]
+    last = len(cells) - first > 1 and not cells[-1]
+    return ["".join(c).strip() for c in cells[first : len(cells) - last]]
 
 
 def is_rule(line: str) -> bool:
-    marks = [c for c in cells_of(line) if c] if "-" in line else []
-    return bool(marks) and all(_RULE.fullmatch(c) for c in marks)
+    """A line of dashes, pipes and colons that divides a table's head from its body."""
+    return _RULE.fullmatch(line) is not None
+
+
+@functools.lru_cache(maxsize=4096)
+def places_of(headers: tuple[str, ...], width: int) -> tuple[int | None, ...]:
+    """Place of each wanted column (in the order of NEEDLES) in rows of ``width`` cells: the first header that holds any of
+    its needles, punctuation aside; under equal headers the last cell that the row has. Share counts come neither from
+    the allotment date's column nor from cumulative ones."""
+    flat = [re.sub("[^a-z0-9]", "", x.lower()) for x in headers]
+
+    def first(name: str, barred: set[int] = frozenset()) -> int | None:
+        wanted = [re.sub("[^a-z0-9]", "", n) for n in NEEDLES[name]]
+        return next((i for i, x in enumerate(flat) if i not in barred and any(n in x for n in wanted)), None)
+
+    at = {name: first(name) for name in NEEDLES}
+    at["shares"] = first("shares", {i for i, x in enumerate(headers) if i == at["allot_date"] or "cumulative" in x})
+    last = {h: i for i, h in enumerate(headers[:width])}
+    return tuple(None if i is None else last.get(headers[i], i) for i in at.values())
 
 
 def table_rows(text: str) -> Iterator[tuple]:
-    """(page, section, table number, row number, headers, cells, raw table text) of every body row.
+    """(page, section, table number, row number, headers, cells, raw table text, places, row text) of every body row.
 
     One pass with a small state: the open table, if any, and the page and section last seen. Page marks come before
     headings, headings before tables; a pipe line heads a table only if a rule follows; a line without a pipe, a blank
@@ -46,7 +95,8 @@ def table_rows(text: str) -> Iterator[tuple]:
     def close(end: int) -> Iterator[tuple]:
         raw = "\n".join(lines[open_at:end])
         for r, row in enumerate(rows):
-            yield page, section, number - 1, r, head, row, raw
+            kept = dict(zip(head, row))
+            yield page, section, number - 1, r, head, row, raw, places_of(tuple(head), len(row)), " | ".join(v for v in kept.values() if v)
 
     i = 0
     while i <= len(lines):
@@ -60,12 +110,12 @@ def table_rows(text: str) -> Iterator[tuple]:
             open_at = -1
         if i == len(lines):
             return
-        mark = _PAGE.search(line)
-        title = None if mark else _HEADING.match(line)
-        if mark:
-            page = int(next(g for g in mark.groups() if g is not None))
+        mark = page_of(line)
+        title = heading_of(line) if mark is None else None
+        if mark is not None:
+            page = mark
         elif title:
-            section = title.group(1).strip()
+            section = title
         elif "|" in line and i + 1 < len(lines) and is_rule(lines[i + 1]):
             head, rows, open_at, number = [" ".join(c.split()).lower() for c in cells_of(line)], [], i, number + 1
             i += 1
@@ -105,3 +155,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """filing_id (the path) and text of the Markdown files of a folder; undecodable bytes are replaced."""
     files = spark.read.format("binaryFile").load(path).where(is_markdown(F.col("path")))
     return files.select(F.col("path").alias("filing_id"), F.expr("decode(content, 'UTF-8')").alias("text"))
+
+
+def document_summary(pages: DataFrame, key: str = "filing_id") -> DataFrame:
+    """key, n_pages, n_ocr, mean confidence (4 places) and characters of each document, from ``page_summary`` rows."""
+    return pages.groupBy(key).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("method") == "ocr").alias("n_ocr"), F.round(F.avg("confidence"), 4).alias("confidence"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
