@@ -61,6 +61,29 @@ def corpus_scores(predicted: DataFrame, gold: DataFrame, scope: str = "filing_id
     return scores(flags, [scope]).unionByName(scores(flags).withColumn(scope, F.lit(None).cast(gold.schema[scope].dataType)))
 
 
+def counts(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: predicted and gold rows (not keys)."""
+    both = predicted.select(F.lit(1).alias("p")).union(gold.select(F.lit(0)))
+    return both.agg(F.count_if(F.col("p") == 1).alias("predicted"), F.count_if(F.col("p") == 0).alias("gold"))
+
+
+def differences(predicted: DataFrame, gold: DataFrame, key: Sequence[str] = KEY, scope: Sequence[str] = ()) -> DataFrame:
+    """scope, key, side: keys only in gold ("missed") or only predicted ("spurious"), in order of side and key."""
+    off = sides(predicted, gold, key, scope).where(F.col("in_pred") != F.col("in_gold"))
+    return off.select(*scope, *key, F.when(F.col("in_gold") == 1, "missed").otherwise("spurious").alias("side")).orderBy("side", *scope, *key)
+
+
+def corpus_table(predicted: DataFrame, gold: DataFrame, scope: str = "filing_id", key: Sequence[str] = KEY) -> DataFrame:
+    """scope, n_predicted, n_gold, line: one printed line per filing with predictions; without gold it says so."""
+    n = predicted.groupBy(scope).agg(F.count(F.lit(1)).alias("n_predicted"))
+    g = gold.groupBy(scope).agg(F.count(F.lit(1)).alias("n_gold"))
+    s = scores(sides(predicted, gold, key, [scope]), [scope]).select(scope, "precision", "recall", "f1")
+    j = n.join(g, scope, "left").join(s, scope, "left")
+    figures = F.format_string("P=%.3f R=%.3f F1=%.3f", "precision", "recall", "f1")
+    shown = F.format_string("%-40s %5d %5s  %s", F.substring(F.col(scope).cast("string"), 1, 40), "n_predicted", F.coalesce(F.col("n_gold").cast("string"), F.lit("—")), F.when(F.col("n_gold").isNotNull(), figures).otherwise("no gold set"))
+    return j.select(scope, "n_predicted", "n_gold", shown.alias("line"))
+
+
 def rank_quality(ranks: DataFrame, k: int = 5) -> DataFrame:
     """Mean nDCG@k (one relevant item) and MRR over queries given the first relevant ``rank`` (null if none)."""
     gain = F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
