@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .skew import join_unique
 from .timestamps import ascii_digits
 
 FIELDS = ("old_capital", "new_capital", "issue_price", "total_outflow")
@@ -158,7 +159,7 @@ def amounts_in_paise(events: DataFrame, filings: DataFrame, fields: Sequence[str
     per_share = F.col("field_name").isin(*PER_SHARE)
     snippet = F.when(per_share, F.when(in_paise, F.lit(1).cast("bigint"))).otherwise(totals * 100)
     read = cells.select(key, "filing_id", "field_name", "cell", value.alias("__v"), own.alias("__own"), settled.alias("__all"), bare.alias("__bare"), snippet.alias("__snip"))
-    read = read.where("__v is not null or __all is not null").join(declared, "filing_id", "left")
+    read = join_unique(read.where("__v is not null or __all is not null"), declared, "filing_id", key)
     filing = F.when(~per_share, F.col("__filing") * 100)
     unit = F.coalesce("__own", "__snip", filing, F.lit(100).cast("bigint"))
     paise = F.round(F.coalesce(F.col("__all"), F.col("__v") * unit), 0).try_cast("bigint")

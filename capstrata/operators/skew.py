@@ -46,6 +46,15 @@ def attach_group(
     return salted.join(right, cond, "inner").drop("__salt", "__s", *[f"__k_{k}" for k in keys])
 
 
+def join_unique(df: DataFrame, right: DataFrame, key: str, spread_by: str, ways: int = 1024) -> DataFrame:
+    """Left join with a table whose ``key`` is unique. Rows without a key match nothing and are dealt out over ``ways``
+    values instead of meeting in one task; a key of very many rows is left to the skew join of adaptive execution."""
+    name = lambda c, other: F.coalesce(F.concat(F.lit("="), c.cast("string")), other).alias("__j")
+    nothing = F.pmod(F.xxhash64(spread_by), F.lit(ways)).cast("string")
+    keyed = right.where(F.col(key).isNotNull()).select(name(F.col(key), F.lit("")), *[c for c in right.columns if c != key])
+    return df.select("*", name(F.col(key), nothing)).join(keyed, "__j", "left").drop("__j")
+
+
 def lookup_distinct(
     df: DataFrame, keys: Sequence[str], spread: str, resolve, outputs: Sequence[str], salts: int = SALTS
 ) -> DataFrame:

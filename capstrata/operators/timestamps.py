@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_unique
+
 FIELDS = ("date", "record_date", "payment_date")
 
 #: Month names in English, German and French with their usual abbreviations.
@@ -206,7 +208,7 @@ def normalise_moments(events: DataFrame, filings: DataFrame, fields: Sequence[st
     cells = stacked.select(key, "filing_id", "x.field_name", "x.cell").where("cell is not null")
     named = cells.select(F.lower(F.regexp_extract("cell", _ZONE_NAME, 1)).alias("zone")).where("zone <> ''")
     intervals = zone_intervals(named.union(offices.select(F.lower("__office").alias("zone"))))
-    parsed = parse_moment(cells.join(offices, "filing_id", "left"), "cell", "__order", "__office")
+    parsed = parse_moment(join_unique(cells, offices, "filing_id", key), "cell", "__order", "__office")
     local = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.col("clock")
     parsed = parsed.withColumn("__local", local).withColumn("__year", F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year("day"))))
     # Bounded: at most some 600 zones of the time zone database with a few segments a year.

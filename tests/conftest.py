@@ -7,10 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from capstrata.session import get_session
 
-    session = get_session("local[8]", "tests", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1"})
+    session = get_session("local[8]", "tests", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
