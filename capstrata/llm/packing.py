@@ -4,7 +4,8 @@ Only lengths matter to packing, so the heuristic runs on the histogram (at most
 capacity, whatever the corpus size). Each window takes the longest remaining length and fills what is left by a
 bitset subset-sum over the remaining multiset; the fill closest to capacity is backtracked to counts per length
 and repeated as often as the remaining counts allow. Items then find their container by their rank within their
-length, counted per (length, salt) so that a length shared by a third of all items is ranked in many tasks.
+length, counted per (length, salt) with as many salts as the length's own number of items asks for, so that a length
+shared by a third of all items (full pieces of long texts, say) is ranked in many tasks.
 
 Defined results: an item longer than the capacity is cut into full pieces and one rest, others never; items
 without tokens take no room and are put into container 0; null texts count as empty. The result is the same
@@ -24,8 +25,8 @@ from ..session import cut_lineage
 from .tokens import RANKS, token_counts
 
 CAPACITY = 2048
-#: Tasks over which the items of one length are ranked.
-SALTS = 64
+#: Items of one length that are ranked in one task, about.
+RANKED = 100_000
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -86,38 +87,44 @@ def slots(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS, salts: int = SALTS) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS, ranked: int = RANKED) -> DataFrame:
     """doc_id, piece, token_from, tokens, container_id."""
-    return pack_counts(token_counts(documents, "doc_id", "text", ranks), capacity, salts)
+    return pack_counts(token_counts(documents, "doc_id", "text", ranks), capacity, ranked)
 
 
-def pack_counts(counts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack_counts(counts: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
     """As ``pack`` for a table of doc_id and tokens."""
+    spark = counts.sparkSession
     pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
     items = counts.withColumn("__n", pieces).select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("piece"))
     items = items.select(
         "doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("token_from"),
         F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece").cast("bigint") * capacity).alias("tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int").alias("__salt"),
     )
-    # Counted twice (histogram, assignment) and costly to make, so it is written once where executors may be lost.
+    # Read three times (histogram, salts, assignment) and costly to make, so it is written once where executors may be lost.
     items = cut_lineage(items)
-    # At most capacity x salts rows, whatever the corpus.
-    sizes = items.where("tokens > 0").groupBy("tokens", "__salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    histogram: dict[int, int] = {}
-    starts = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for r in sorted(sizes, key=lambda r: (r[0], r[1])):
-        starts[r[0], r[1]] = histogram.get(r[0], 0)
-        histogram[r[0]] = histogram.get(r[0], 0) + r[2]
-    table = items.sparkSession.sparkContext.broadcast((slots(histogram, capacity), starts))
-    ranked = items.withColumn("__rank", F.row_number().over(Window.partitionBy("tokens", "__salt").orderBy("doc_id", "piece")).cast("bigint") - 1)
+    # One row per length, at most capacity + 1; one per length and ``ranked`` items of it.
+    sizes = {r[0]: r[1] for r in items.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = spark.createDataFrame([(x, -(-n // ranked)) for x, n in sizes.items()], "tokens bigint, __salts bigint")
+    items = items.join(F.broadcast(shares), "tokens").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__salts")))
+    per_salt = items.groupBy("tokens", "__salt").agg(F.count(F.lit(1)).alias("n")).collect()
+    first_of = np.zeros(capacity + 2, dtype=np.int64)
+    for x, n in sizes.items():
+        first_of[x + 1] = -(-n // ranked)
+    first_of = np.cumsum(first_of)
+    starts, seen = np.zeros(int(first_of[-1]) + 1, dtype=np.int64), {}
+    for r in sorted(per_salt, key=lambda r: (r[0], r[1])):
+        starts[first_of[r[0]] + r[1]] = seen.get(r[0], 0)
+        seen[r[0]] = seen.get(r[0], 0) + r[2]
+    table = spark.sparkContext.broadcast((slots({x: n for x, n in sizes.items() if x > 0}, capacity), first_of, starts))
+    ranks = items.withColumn("__rank", F.row_number().over(Window.partitionBy("tokens", "__salt").orderBy("doc_id", "piece")).cast("bigint") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, first = table.value
+        rows, base, first = table.value
         keys = rows[:, 0] << 40 | rows[:, 1]
         for b in batches:
             tokens, salt, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4, 5))
-            rank = rank + first[tokens, salt]
+            rank = rank + first[base[tokens] + salt]
             container = np.zeros(len(tokens), dtype=np.int64)
             some = tokens > 0
             hit = np.searchsorted(keys, tokens[some] << 40 | rank[some], side="right") - 1
@@ -125,7 +132,7 @@ def pack_counts(counts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(container)], names=["doc_id", "piece", "token_from", "tokens", "container_id"])
 
     kind = counts.schema["doc_id"].dataType.simpleString()
-    return ranked.select("doc_id", "piece", "token_from", "tokens", "__salt", "__rank").mapInArrow(place, f"doc_id {kind}, piece int, token_from bigint, tokens bigint, container_id bigint")
+    return ranks.select("doc_id", "piece", "token_from", "tokens", "__salt", "__rank").mapInArrow(place, f"doc_id {kind}, piece int, token_from bigint, tokens bigint, container_id bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
+
 KEY = ("filing_id", "event_type", "date", "shares")
 #: Recency weights are relative to this moment; it cancels out within a group.
 EPOCH = "2025-01-01 00:00:00"
@@ -51,7 +53,7 @@ def prepared(rows: DataFrame, filings: DataFrame, trust: DataFrame) -> DataFrame
         F.coalesce(unit_confidence(F.col("confidence")), unit_confidence(F.col("source_provenance.confidence"))).alias("__conf"),
     ).where("date is not null and shares is not null")
     # trust has one row per known method, so this broadcast is bounded by the method vocabulary.
-    return base.join(F.broadcast(ranks), "__m", "left").join(pages, "filing_id", "left").withColumn("__page_ok", F.coalesce(F.col("page_number").between(1, F.col("__pages")), F.lit(False)))
+    return join_unique(base.join(F.broadcast(ranks), "__m", "left"), pages, "filing_id", "record_id").withColumn("__page_ok", F.coalesce(F.col("page_number").between(1, F.col("__pages")), F.lit(False)))
 
 
 def _long(df: DataFrame, keep: Sequence[str], fields: dict[str, tuple[Column, Column]]) -> DataFrame:
