@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .functions.text import CAPITAL_SIGNALS, mentions
 from .operators import quality, report, retrieval, verify
 from .operators.dedup import merge_extractions
+from .operators.evaluate import INGEST_METHOD
 from .operators.extract import table_events
 from .operators.layout import page_table_rows
 from .session import cut_lineage, new_job
 from .sources import markdown
-from .sources.plugins import admissible, model_event_rows, page_layouts
+from .sources.plugins import admissible, model_event_rows, page_layouts, told
 
 
 class Engine:
@@ -24,6 +25,8 @@ class Engine:
         self.spark, self.embed = spark, embed
         self.corpus: DataFrame | None = None
         self.jobs: dict[str, DataFrame] = {}
+        self.last_ingest: str | None = None
+        self.ocr_available = False
 
     def index(self, events: DataFrame) -> int:
         """Makes ``events`` (with pos) the corpus, replacing what was there; returns their number."""
@@ -41,7 +44,7 @@ class Engine:
 
     def health(self) -> dict:
         n = self.corpus.count() if self.corpus is not None else 0
-        return {"status": "ok", "indexed": n, "retrieval": "hybrid" if n else "none"}
+        return {"status": "ok", "indexed": n, "retrieval": "hybrid" if n else "none", "ocr": self.ocr_available, "last_ingest": self.last_ingest}
 
     def stats(self) -> DataFrame:
         return self._live().groupBy(F.coalesce("event_type", F.lit("unknown")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
@@ -76,8 +79,11 @@ class Engine:
     def verify(self, scope: tuple[str, ...] = ("filing_id",), event_type: str | None = None) -> DataFrame:
         return verify.verify(self._live(), scope, event_type)
 
-    def report(self, title: str = "Capital history", scope: str = "filing_id") -> DataFrame:
-        return report.brief(self._live(), verify.verify(self._live(), (scope,)), scope, title)
+    def report(self, title: str = "Capital history", scope: str = "filing_id", model: Callable[[str], str] | None = None) -> DataFrame:
+        """scope, part, markdown of each brief. With a model, also ``narrative`` and ``mode``: its telling of each part,
+        or the part itself where it fails."""
+        out = report.brief(self._live(), verify.verify(self._live(), (scope,)), scope, title)
+        return told(out, model) if model else out
 
     def ingest(self, path: str, job: str | None = None, layout: Callable[[bytes], list[dict]] | None = None, model: Callable[[str], str] | None = None) -> DataFrame:
         """Extracts the files under a path and returns the job's record: job, method, n_events, n_pages.
@@ -101,7 +107,8 @@ class Engine:
             pages = pages.unionByName(texts.select("filing_id", F.col("page_num").alias("page_number"), "text"))
         told = model_event_rows(pages, model, mentions(F.col("text"), CAPITAL_SIGNALS))
         self.jobs[job] = cut_lineage(merge_extractions(tables, told, scope=["filing_id"]))
-        n = self.jobs[job].groupBy(F.coalesce("source_provenance.extraction_method", F.lit("table")).alias("method")).agg(F.count(F.lit(1)).alias("n_events"))
+        self.last_ingest = job
+        n = self.jobs[job].groupBy(F.coalesce("source_provenance.extraction_method", F.lit(INGEST_METHOD)).alias("method")).agg(F.count(F.lit(1)).alias("n_events"))
         return n.join(F.broadcast(pages.agg(F.count(F.lit(1)).alias("n_pages")))).select(F.lit(job).alias("job"), "method", "n_events", "n_pages")  # one row of pages
 
     def ingest_index(self, job: str) -> int:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("event_type", "date")
+#: The method of events that name none, in evaluation and in the record of an ingest.
+DEFAULT_METHOD, INGEST_METHOD = "llm", "table"
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
@@ -42,7 +44,7 @@ def per_type(predicted: DataFrame, gold: DataFrame, kind: str = "event_type", ke
     return scores(sides(predicted, gold, key).where(F.col(kind).isNotNull() & (F.col(kind).cast("string") != "")), [kind])
 
 
-def per_method(predicted: DataFrame, gold: DataFrame, method: str, key: Sequence[str] = KEY, default: str = "llm") -> DataFrame:
+def per_method(predicted: DataFrame, gold: DataFrame, method: str, key: Sequence[str] = KEY, default: str = DEFAULT_METHOD) -> DataFrame:
     """Per extraction method: rows (not distinct keys), those whose key is in gold, and their precision."""
     hit = gold.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct().withColumn("__hit", F.lit(1))
     cond = F.lit(True)

@@ -528,7 +528,29 @@ def cited_events(spark: SparkSession, d: str) -> DataFrame:
     return report.citations(o).select(F.col("event_id").cast("bigint").alias("record_id"), "page_number", "section_heading")
 
 
-@query()
+_BRIEF = f"""
+WITH {_TYPED}, ev AS (SELECT *, {_HEADLINE} AS headline, coalesce(nullif(CAST(event_id AS VARCHAR), ''), 'x') AS name FROM typed WHERE filing_id IS NOT NULL),
+cap AS (SELECT filing_id, new_capital FROM ev WHERE event_type = 'authorised_capital_change' QUALIFY row_number() OVER (PARTITION BY filing_id ORDER BY coalesce(date, '') DESC, event_id DESC) = 1),
+m AS (SELECT filing_id, count(*) AS n, coalesce(sum(CASE WHEN event_type = 'allotment' THEN shares END), 0)::BIGINT AS allotted, count(*) FILTER (WHERE event_type = 'allotment') AS na, count(*) FILTER (WHERE event_type = 'bonus_issue') AS nb,
+  count(*) FILTER (WHERE event_type = 'rights_issue') AS nr, nullif(coalesce(sum(CASE WHEN event_type = 'dividend_declaration' THEN total_outflow END), 0), 0)::BIGINT AS outflow,
+  coalesce(sum(CASE WHEN event_type = 'share_repurchase' THEN shares_bought_back END), 0)::BIGINT AS bought, coalesce(sum(CASE WHEN event_type = 'warrant_exercise' THEN warrants_exercised END), 0)::BIGINT AS warrants,
+  min(nullif(date, '')) AS lo, max(nullif(date, '')) AS hi, count(*) FILTER (WHERE page_number IS NOT NULL AND source_snippet IS NOT NULL) AS cited FROM ev GROUP BY 1),
+told AS (SELECT filing_id, string_agg('- **' || coalesce(nullif(date, ''), 'undated') || '** — ' || headline || coalesce(' (p. ' || page_number || ')', ''), chr(10) ORDER BY coalesce(nullif(date, ''), '9999-99-99'), event_id) AS lines FROM ev GROUP BY 1),
+g AS (SELECT filing_id, list(name ORDER BY event_id) AS ids FROM ev WHERE date <> '' GROUP BY filing_id, event_type, date HAVING count(*) >= 2 AND count(DISTINCT {{'s': shares, 'r': ratio, 'c': new_capital}}) > 1),
+c AS (SELECT filing_id, name, new_capital, lead(old_capital) OVER w AS nxt, lead(name) OVER w AS nn FROM ev WHERE event_type = 'authorised_capital_change' WINDOW w AS (PARTITION BY filing_id ORDER BY coalesce(date, ''), event_id)),
+b AS (SELECT filing_id, name, pre_issue_capital AS pre, post_issue_capital AS post, {_RATIO} AS r FROM ev WHERE event_type = 'bonus_issue'),
+i AS (SELECT filing_id, 0 AS o, '    - [timeline] ' || array_to_string(ids, ', ') AS line FROM g UNION ALL SELECT filing_id, 1, '    - [capital_continuity] ' || name || ', ' || nn FROM c WHERE new_capital <> nxt
+  UNION ALL SELECT filing_id, 2, '    - [arithmetic] ' || name FROM b WHERE pre <> 0 AND abs(post - pre * (1 + r)) / (pre * (1 + r)) > 0.05),
+iss AS (SELECT filing_id, count(*) AS k, string_agg(line, chr(10) ORDER BY o, encode(line)) AS lines FROM i GROUP BY 1)
+SELECT m.filing_id, 1::BIGINT AS part, array_to_string(['# Capital history', '', '*' || n || ' capital events' || coalesce(' spanning ' || lo || ' → ' || hi, '') || '*', '', '## Snapshot', '',
+  '- Latest authorised capital: **' || {_rupees('new_capital')} || '**', '- Total shares allotted: **' || {_grouped('allotted')} || '** across ' || na || ' allotments', '- Bonus issues: **' || nb || '**  ·  Rights issues: **' || nr || '**',
+  '- Total dividend outflow: **' || {_rupees('outflow')} || '**', '- Shares bought back: **' || {_grouped('bought')} || '**  ·  Warrants exercised: **' || {_grouped('warrants')} || '**', '', '## Capital timeline', '', told.lines, '', '## Verification', '',
+  CASE WHEN k IS NULL THEN '- ✅ No contradictions across ' || n || ' events (timeline / capital-continuity / bonus-arithmetic).' ELSE '- ⚠️ **' || k || ' contradiction(s)** found across ' || n || ' events:' || chr(10) || iss.lines END,
+  '', '*' || cited || ' of ' || n || ' events are page-cited back to the source filing.*'], chr(10)) AS markdown
+FROM m JOIN told ON m.filing_id = told.filing_id LEFT JOIN cap ON m.filing_id = cap.filing_id LEFT JOIN iss ON m.filing_id = iss.filing_id"""
+
+
+@query(_BRIEF)
 def report_brief(spark: SparkSession, d: str) -> DataFrame:
     events = typed_events(spark, d).where("filing_id is not null").withColumn("pos", F.col("event_id"))
     return report.brief(events, verify.verify(events))

@@ -151,9 +151,17 @@ def page_summary(pages: DataFrame, key: str = "filing_id", method: str = "markdo
     return pages.select(key, "page_number", F.lit(method).alias("method"), F.lit(1.0).alias("confidence"), F.char_length("text").alias("chars"))
 
 
+def filings_in(spark: SparkSession, folder: str) -> DataFrame:
+    """The PDF and Markdown files of a folder (``binaryFile`` rows) in order of path; a missing folder has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    return spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike("\\.(pdf|md|markdown|mdown|mkd)$")).orderBy("path")
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """filing_id (the path) and text of the Markdown files of a folder; undecodable bytes are replaced."""
-    files = spark.read.format("binaryFile").load(path).where(is_markdown(F.col("path")))
+    files = filings_in(spark, path).where(is_markdown(F.col("path")))
     return files.select(F.col("path").alias("filing_id"), F.expr("decode(content, 'UTF-8')").alias("text"))
 
 

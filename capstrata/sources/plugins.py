@@ -129,6 +129,16 @@ def narrative(report: str, model: Callable[[str], str] | None) -> tuple[str, str
     return report, "extractive"
 
 
+def told(briefs: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """Adds ``narrative`` and ``mode`` to rows with ``markdown``."""
+
+    @F.pandas_udf("narrative string, mode string")
+    def tell(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([narrative(x, model) for x in text], columns=["narrative", "mode"])
+
+    return briefs.withColumn("__n", tell("markdown")).select(*briefs.columns, "__n.narrative", "__n.mode")
+
+
 def admissible(files: DataFrame, max_bytes: int = 40_000_000, page_count: Callable[[bytes], int] | None = None, max_pages: int = 300) -> DataFrame:
     """Files with a status: 400 for other than PDF and Markdown (by suffix or a ``mime`` column), 413 for too large or, by
     ``page_count``, a PDF of too many pages (one that cannot be counted passes), else 200."""

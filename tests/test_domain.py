@@ -32,8 +32,8 @@ def column(spark, values, f, kind="string"):
 
 
 def test_amounts(spark):
-    cells = ["2,50,000", "Rs. 154.20", "₹1,50,00,00,000", "Rs. 150 crore", "10 lakh", "5 mn", "Nil", "N/A", "—", None, "1,50,00,00,000 (Rupees One Hundred Fifty Crore)", "150 crores", "10Cr", "2019-20", "A-1"]
-    assert column(spark, cells, numbers.cell_amount) == [250000, 154.2, 1.5e9, 1.5e9, 1e6, 5e6, None, None, None, None, 1.5e9, 150, 10, 2019, -1]
+    cells = ["2,50,000", "Rs. 154.20", "₹1,50,00,00,000", "Rs. 150 crore", "10 lakh", "5 mn", "Nil", "N/A", "—", None, "2,75,00,00,000 (Rupees two hundred seventy-five crore)", "150 crores", "10Cr", "2019-20", "A-1"]
+    assert column(spark, cells, numbers.cell_amount) == [250000, 154.2, 1.5e9, 1.5e9, 1e6, 5e6, None, None, None, None, 2.75e9, 150, 10, 2019, -1]
     assert column(spark, ["5:1", " 1 : 4 ", "2.5:1", "1:0", "194,998:1", "garbage", None], numbers.ratio_multiple) == [5, 0.25, 2.5, None, None, None, None]
     assert column(spark, [None, 5.0, 250000.0, 1.5e9], numbers.rupees, "double") == ["—", "Rs. 5", "Rs. 2.50 L", "Rs. 150.00 Cr"]
 
@@ -498,3 +498,17 @@ def test_scores_of_a_small_gold_set(spark):
         s = evaluate.evaluate(pred, gold).first()
         assert (s.precision, s.recall, s.f1) == ((1.0, 0.857, 0.923) if n == 7 else (1.0, 0.938, 0.968))
         assert [(r.date, r.side) for r in evaluate.differences(pred, gold).collect()] == [("2019-01-01", "missed")]
+
+
+def test_command_line(spark, tmp_path):
+    from capstrata.__main__ import run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.md").write_text(MD)
+    out = run(spark, ["extract", str(tmp_path / "in"), str(tmp_path / "out")])
+    assert out.first().n_events == 4
+    assert run(spark, ["evaluate", str(tmp_path / "out"), str(tmp_path / "out")]).first().f1 == 1.0
+    assert "F1=1.000" in run(spark, ["corpus", str(tmp_path / "out"), str(tmp_path / "out")]).first().line
+    assert markdown.filings_in(spark, str(tmp_path / "none")).count() == 0 and [r.path[-4:] for r in markdown.filings_in(spark, str(tmp_path / "in")).collect()] == ["f.md"]
+    briefs = spark.createDataFrame([("a",), ("b",)], "markdown string")
+    assert {(r.markdown, r.narrative, r.mode) for r in plugins.told(briefs, lambda x: {"a": "A"}[x]).collect()} == {("a", "A", "llm"), ("b", "b", "extractive")}
