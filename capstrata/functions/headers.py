@@ -43,14 +43,19 @@ def is_data_row(cells: Column) -> Column:
     return F.exists(cells, lambda c: is_iso(cell_date(c)) | F.coalesce(blanks(c).rlike("(?U)\\d{1,3}(?:,\\d{2,3})+|\\d{4,}"), F.lit(False)))
 
 
-def fold_headers(grid: Column) -> tuple[Column, Column]:
-    """(headers, body) of a grid whose header may run over the first rows: up to three rows that hold no data are
-    joined to it, column by column."""
+def more_header_rows(grid: Column) -> Column:
+    """How many rows after the first, at most three, hold no data and so continue the header."""
     def more(i: int) -> Column:
         row = F.get(grid, F.lit(i))
         return row.isNotNull() & ~is_data_row(row)
 
-    extra = F.when(~more(1) | (F.size(grid) <= 1), 0).when(~more(2) | (F.size(grid) <= 2), 1).when(~more(3) | (F.size(grid) <= 3), 2).otherwise(3)
+    return F.when(~more(1) | (F.size(grid) <= 1), 0).when(~more(2) | (F.size(grid) <= 2), 1).when(~more(3) | (F.size(grid) <= 3), 2).otherwise(3)
+
+
+def fold_headers(grid: Column, extra: Column | None = None) -> tuple[Column, Column]:
+    """(headers, body) of a grid whose header may run over the first rows: the rows that continue it are joined to it,
+    column by column. ``extra`` is their number, where it is known as a column already."""
+    extra = more_header_rows(grid) if extra is None else extra
     top = F.slice(grid, F.lit(1), extra + 1)
     width = F.array_max(F.transform(top, lambda r: F.size(r)))
     names = F.transform(F.sequence(F.lit(0), width - 1), lambda c: norm(F.array_join(F.filter(F.transform(top, lambda r: F.get(r, c)), lambda x: x.isNotNull() & (x != "")), " ")))

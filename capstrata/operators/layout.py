@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.headers import NEEDLES, column_at, fold_headers
+from ..functions.headers import NEEDLES, column_at, fold_headers, more_header_rows
 from ..functions.text import TABLE_SIGNALS, blanks, mentions
 
 #: How much larger than the page's median a heading's letters are on average; least rows of a table.
@@ -52,23 +52,22 @@ def grid_rows(grids: DataFrame, key: str = "filing_id") -> DataFrame:
     cells trimmed, those beyond the headers left out."""
     full = F.transform("cells", lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
     raw = F.array_join(F.transform("__c", lambda r: F.array_join(r, " | ")), "\n")
-    names, body = fold_headers(F.col("__c"))
-    g = grids.withColumn("__c", full).withColumns({"headers": names, "__body": body, "raw_text": raw})
+    # What is costly is made a column of the grid once, before its rows are taken apart.
+    g = grids.withColumn("__c", full).withColumn("__more", more_header_rows(F.col("__c")))
+    names, body = fold_headers(F.col("__c"), F.col("__more"))
+    g = g.withColumns({"headers": names, "__body": body, "raw_text": raw}).withColumn("places", places(F.col("headers")))
     box = F.transform("bbox", lambda v: F.round(v, 2))
-    rows = g.select(key, "page_num", "section", "table_no", "headers", "raw_text", box.alias("bbox"), F.posexplode("__body").alias("row_no", "__r"))
-    rows = rows.withColumn("cells", F.transform(F.slice("__r", F.lit(1), F.size("headers")), lambda c: F.trim(c)))
-    return with_places(rows).drop("__r")
-
-
-def with_places(rows: DataFrame) -> DataFrame:
-    """Adds ``places`` (0-based column of each wanted name, in the order of NEEDLES, null if none) and ``row_text``, from
-    ``headers`` and ``cells``. Share counts come neither from the allotment date's column nor from cumulative ones."""
-    h = F.col("headers")
-    date = column_at(h, NEEDLES["allot_date"])
-    barred = F.filter(F.transform(h, lambda x, i: F.when(x.contains("cumulative") | (i == F.coalesce(date, F.lit(-1))), i)), lambda i: i.isNotNull())
-    at = [column_at(h, needles, barred if name == "shares" else None) for name, needles in NEEDLES.items()]
-    text = F.array_join(F.filter("cells", lambda c: c != ""), " | ")
-    return rows.withColumns({"places": F.array(*at), "row_text": text})
+    rows = g.select(key, "page_num", "section", "table_no", "headers", "raw_text", "places", box.alias("bbox"), F.posexplode("__body").alias("row_no", "__r"))
+    rows = rows.withColumn("cells", F.transform(F.slice("__r", F.lit(1), F.size("headers")), lambda c: F.trim(c))).drop("__r")
+    return rows.withColumn("row_text", F.array_join(F.filter("cells", lambda c: c != ""), " | "))
+
+
+def places(headers: Column) -> Column:
+    """0-based column of each wanted name, in the order of NEEDLES, null if none. Share counts come neither from the
+    allotment date's column nor from cumulative ones."""
+    date = column_at(headers, NEEDLES["allot_date"])
+    barred = F.filter(F.transform(headers, lambda x, i: F.when(x.contains("cumulative") | (i == F.coalesce(date, F.lit(-1))), i)), lambda i: i.isNotNull())
+    return F.array(*[column_at(headers, needles, barred if name == "shares" else None) for name, needles in NEEDLES.items()])
 
 
 def page_table_rows(chars: DataFrame, grids: DataFrame, pages: DataFrame, key: str = "filing_id") -> DataFrame:
