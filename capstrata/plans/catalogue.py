@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import dedup, evaluate, extract, layout, provenance, quality, report, retrieval, verify
+from ..operators import asof, dedup, evaluate, extract, layout, provenance, quality, report, retrieval, verify
 from ..session import cut_lineage, scratch_dir, spread_table, table
 from ..sources import json_events, markdown, plugins, sinks
 from ..streaming import ingest
@@ -475,8 +475,8 @@ SELECT event_id, signup FROM s
 """)
 def asof_section(spark: SparkSession, d: str) -> DataFrame:
     """The last sign-up of the same user up to each event: a backward as-of fill, as for sections of a document."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("signup"))
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return asof.carried(table(spark, d, "events"), "user_id", ["ts", "event_id"], signup, "signup").select("event_id", "signup")
 
 
 @query("""

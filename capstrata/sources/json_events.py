@@ -28,6 +28,13 @@ def events_of(files: DataFrame, key: str = "filing_id", text: str = "text") -> D
     return out.withColumn("page_number", F.coalesce("page_number", "page"))
 
 
+def meta_of(files: DataFrame, key: str = "filing_id", text: str = "text") -> DataFrame:
+    """key, meta: the top-level fields of JSON objects besides their events, as texts; an empty map for a bare list."""
+    fields = F.from_json(F.when(F.trim(F.col(text)).startswith("{"), F.col(text)), "map<string, string>")
+    kept = F.map_filter(fields, lambda k, v: k != "capital_events")
+    return files.select(key, F.coalesce(kept, F.create_map().cast("map<string,string>")).alias("meta"))
+
+
 def _ddl(fields: str) -> str:
     parts, depth, start = [], 0, 0
     for i, ch in enumerate(fields + ","):

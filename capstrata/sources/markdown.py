@@ -7,11 +7,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.headers import NEEDLES
 from ..functions.text import is_markdown, page_marker
+from ..operators.asof import carried
 
 _ASIDE = re.compile(r"\[([^][]*)\]|<!--(.*?)-->")
 _RULE = re.compile(r"[\s|]*:?-+:?(?:\s*\|[\s|]*:?-+:?)*[\s|]*")
@@ -141,8 +142,7 @@ def split_pages(docs: DataFrame, key: str = "filing_id", text: str = "text") ->
     line_ends = "\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029]"
     lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({line_ends})$", ""), line_ends)).alias("n", "line"))
     marked = lines.withColumn("mark", page_marker(F.col("line")))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    paged = marked.withColumn("page_number", F.coalesce(F.last("mark", ignorenulls=True).over(w), F.lit(1))).where("mark is null")
+    paged = carried(marked, key, ["n"], F.col("mark"), "page_number").where("mark is null").withColumn("page_number", F.coalesce("page_number", F.lit(1)))
     return paged.groupBy(key, "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 

@@ -35,13 +35,16 @@ def write_csv(events: DataFrame, path: str) -> None:
     events.select(*columns).write.mode("overwrite").option("header", True).options(emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def postprocess(raw: DataFrame, path: str, order: str = "pos") -> None:
-    """Validates, sets aside what does not fit, drops repeats, and writes clean, flat and quarantined output."""
+def postprocess(raw: DataFrame, path: str, order: str = "pos", meta: DataFrame | None = None) -> None:
+    """Validates, sets aside what does not fit, drops repeats, and writes clean, flat and quarantined output; with ``meta``
+    (filing_id and further columns) also the clean events as documents that carry it."""
     checked = validate(raw)
     checked.where("not is_valid").write.mode("overwrite").json(f"{path}/invalid")
     clean = drop_repeats(checked.where("is_valid").drop("is_valid", "error"), order)
     clean.write.mode("overwrite").json(f"{path}/clean")
     write_csv(clean, f"{path}/flat")
+    if meta is not None:
+        extraction_documents(clean, order=order, meta=meta).select("value").write.mode("overwrite").text(f"{path}/documents")
 
 
 def write_index(corpus: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:

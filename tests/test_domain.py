@@ -512,3 +512,13 @@ def test_command_line(spark, tmp_path):
     assert markdown.filings_in(spark, str(tmp_path / "none")).count() == 0 and [r.path[-4:] for r in markdown.filings_in(spark, str(tmp_path / "in")).collect()] == ["f.md"]
     briefs = spark.createDataFrame([("a",), ("b",)], "markdown string")
     assert {(r.markdown, r.narrative, r.mode) for r in plugins.told(briefs, lambda x: {"a": "A"}[x]).collect()} == {("a", "A", "llm"), ("b", "b", "extractive")}
+
+
+def test_meta_of_extraction_files(spark, tmp_path):
+    files = spark.createDataFrame([("a", '{"source_file": "x.pdf", "total_pages": 7, "capital_events": [{"event_type": "allotment"}]}'), ("b", '[{"event_type": "allotment"}]'), ("c", "no json"), ("d", None)], "filing_id string, text string")
+    got = {r.filing_id: r.meta for r in json_events.meta_of(files).collect()}
+    assert got == {"a": {"source_file": "x.pdf", "total_pages": "7"}, "b": {}, "c": {}, "d": {}}
+    raw = spark.createDataFrame([("f", 0, "allotment", "5"), ("f", 1, "allotment", "5"), ("f", 2, "allotment", "x")], "filing_id string, pos int, event_type string, shares string")
+    sinks.postprocess(raw, str(tmp_path / "o"), meta=spark.createDataFrame([("f", 7, "m")], "filing_id string, total_pages int, model string"))
+    text_ = spark.read.text(str(tmp_path / "o" / "documents")).first().value
+    assert '"total_pages":7' in text_ and text_.count('"allotment"') == 1
