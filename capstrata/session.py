@@ -69,7 +69,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = tempfile.mkdtemp(prefix="capstrata-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

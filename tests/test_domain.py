@@ -522,3 +522,14 @@ def test_meta_of_extraction_files(spark, tmp_path):
     sinks.postprocess(raw, str(tmp_path / "o"), meta=spark.createDataFrame([("f", 7, "m")], "filing_id string, total_pages int, model string"))
     text_ = spark.read.text(str(tmp_path / "o" / "documents")).first().value
     assert '"total_pages":7' in text_ and text_.count('"allotment"') == 1
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from capstrata.session import checkpoint_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError):
+            checkpoint_dir(bare)
