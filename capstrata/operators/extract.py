@@ -65,6 +65,7 @@ def table_events(rows: DataFrame, key: str = "filing_id") -> DataFrame:
         "price": only("rights_issue", amount), "shares_offered": only("rights_issue", count), "shares_issued": only("bonus_issue", count),
         "old_capital": only("authorised_capital_change", old), "new_capital": only("authorised_capital_change", new), "resolution_type": only("authorised_capital_change", resolution),
     }
+    # A row that became an event has text; the raw text of its table, which Markdown tables keep with their first row only, serves rows without.
     row_text = F.col("row_text")
     snippet = F.nullif(F.substring(F.when(row_text != "", row_text).otherwise(F.col("raw_text")), 1, SNIPPET), F.lit(""))
     return df.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,9 @@ from ..operators.asof import carried
 _ASIDE = re.compile(r"\[([^][]*)\]|<!--(.*?)-->")
 _RULE = re.compile(r"[\s|]*:?-+:?(?:\s*\|[\s|]*:?-+:?)*[\s|]*")
 
+#: Fixed value: rows handed from Python to Spark at once.
+BATCH = 10_000
+
 TABLE_ROWS = "page_num int, section string, table_no int, row_no int, headers array<string>, cells array<string>, raw_text string, places array<int>, row_text string"
 
 
@@ -85,26 +89,26 @@ def places_of(headers: tuple[str, ...], width: int) -> tuple[int | None, ...]:
 def table_rows(text: str) -> Iterator[tuple]:
     """(page, section, table number, row number, headers, cells, raw table text, places, row text) of every body row.
 
+    The raw text, whole, stands with a table's first row only: with every row, it would grow as the square of the table.
     One pass with a small state: the open table, if any, and the page and section last seen. Page marks come before
     headings, headings before tables; a pipe line heads a table only if a rule follows; a line without a pipe, a blank
     line or another rule ends it.
     """
     page, section, number = 1, "", 0
     lines = text.splitlines()
-    open_at, head, rows = -1, [], []
+    open_at, head = -1, []
 
     def close(end: int) -> Iterator[tuple]:
-        raw = "\n".join(lines[open_at:end])
-        for r, row in enumerate(rows):
+        for r, line in enumerate(lines[open_at + 2 : end]):
+            row = cells_of(line)
             kept = dict(zip(head, row))
-            yield page, section, number - 1, r, head, row, raw, places_of(tuple(head), len(row)), " | ".join(v for v in kept.values() if v)
+            yield page, section, number - 1, r, head, row, None if r else "\n".join(lines[open_at:end]), places_of(tuple(head), len(row)), " | ".join(v for v in kept.values() if v)
 
     i = 0
     while i <= len(lines):
         line = lines[i] if i < len(lines) else ""
         if open_at >= 0:
             if i < len(lines) and line.strip() and "|" in line and not is_rule(line):
-                rows.append(cells_of(line))
                 i += 1
                 continue
             yield from close(i)
@@ -118,20 +122,22 @@ def table_rows(text: str) -> Iterator[tuple]:
         elif title:
             section = title
         elif "|" in line and i + 1 < len(lines) and is_rule(lines[i + 1]):
-            head, rows, open_at, number = [" ".join(c.split()).lower() for c in cells_of(line)], [], i, number + 1
+            head, open_at, number = [" ".join(c.split()).lower() for c in cells_of(line)], i, number + 1
             i += 1
         i += 1
 
 
 def parse_tables(docs: DataFrame, key: str = "filing_id", text: str = "text") -> DataFrame:
-    """One row per table body row of every document; whole documents, in parallel over documents."""
+    """One row per table body row of every document; whole documents, in parallel over documents. A table's ``raw_text``
+    stands with its row 0."""
     kind = docs.schema[key].dataType.simpleString()
     columns = [key, *[c.split()[0] for c in TABLE_ROWS.split(", ")]]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, *row) for k, t in zip(b[key], b[text]) for row in table_rows(t)]
-            yield pd.DataFrame(out, columns=columns)
+            rows = ((k, *row) for k, t in zip(b[key], b[text]) for row in table_rows(t))
+            while out := list(itertools.islice(rows, BATCH)):
+                yield pd.DataFrame(out, columns=columns)
 
     # Only documents with a pipe reach Python.
     return docs.select(key, text).where(F.col(text).contains("|")).mapInPandas(scan, f"`{key}` {kind}, {TABLE_ROWS}")

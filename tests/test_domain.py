@@ -243,6 +243,17 @@ def test_duplicate_headers_and_guards():
     assert dict(zip(NEEDLES, markdown.places_of(("date", "nature of allotment", "consideration"), 3)))["consideration"] == 1
 
 
+def test_rows_of_a_long_table_grow_as_the_table(spark):
+    head = "| Date of resolution | Increased from | Increased to |\n|---|---|---|\n"
+    table = lambda n: head + "\n".join(f"| 2019-01-31 | {i} | {100_000 + i} |" for i in range(n))
+    rows = list(markdown.table_rows(f"{table(300)}\n\n{table(2)}\n"))
+    assert [(r[2], r[3], r[6]) for r in rows if r[6]] == [(0, 0, table(300)), (1, 0, table(2))] and len(rows) == 302
+    n = 2 * markdown.BATCH + 5
+    docs = spark.createDataFrame([(1, table(n)), (2, table(3))], "filing_id bigint, text string")
+    events = extract.table_events(markdown.parse_tables(docs)).groupBy("filing_id").agg(F.count("new_capital").alias("n"), F.sum("new_capital").alias("total"), F.min("source_snippet").alias("first")).orderBy("filing_id")
+    assert [tuple(r) for r in events.collect()] == [(k, m, m * 100_000 + m * (m - 1) // 2, "2019-01-31 | 0 | 100000") for k, m in ((1, n), (2, 3))]
+
+
 def test_page_windows(spark):
     pages = spark.createDataFrame([("f", n, f"t{n}") for n in range(3, 9)] + [("g", 1, "only")], "filing_id string, page_number int, text string")
     got = sorted((r.filing_id, r.start_page, r.end_page) for r in provenance.page_windows(pages, 3, 1).collect())
